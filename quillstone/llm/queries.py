@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, consensus, refine
+from . import bpe, consensus, cosine, refine, splits, suffixes
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Val and test members that share a company, a text or nearly a text with the train part."""
+    return cosine.overlaps(table(spark, sf_dir, "dedup_member"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps counted by part and jurisdiction."""
+    members = table(spark, sf_dir, "dedup_member")
+    return cosine.report(members, cosine.overlaps(members))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +46,42 @@ def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.select("annotator", "question", F.round("reliability", 6).alias("reliability"), F.col("n_items").cast("bigint").alias("n_items"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members tied to a smaller one, each with the smallest of its tied set."""
+    found = splits.split_members(table(spark, sf_dir, "dedup_member"), table(spark, sf_dir, "item"))
+    return found.where("member_id <> root_id and split is not null").select("root_id", "member_id")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the splits and of the labels in them."""
+    members = table(spark, sf_dir, "dedup_member")
+    found = splits.split_members(members, table(spark, sf_dir, "item"))
+    rows = found.join(members.select("member_id", "jurisdiction", "has_text"), "member_id")
+    return rows.groupBy("split", "jurisdiction").agg(F.count("*").alias("n_members"), F.count_if("has_text").alias("n_text"), F.countDistinct("root_id").alias("n_components"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and held-out items that have twelve consecutive words in common."""
+    return suffixes.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item")).select("doc_id", "item_id")
+
+
+def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest verbatim match of each such pair."""
+    return suffixes.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the affected ones, counted by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = suffixes.without_leaks(docs, suffixes.leaks(docs, table(spark, sf_dir, "heldout_item")))
+    return kept.groupBy("source").agg(F.count("*").alias("n_docs"))
+
+
 _WORDS = "list_aggregate(regexp_extract_all(replace(lower(nfc_normalize(coalesce({0}, ''))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'), 'string_agg', ' ')"
 _P2_GROUPS = f"""
 WITH m AS (
@@ -67,12 +109,52 @@ SELECT item_id, question, min(label) AS label FROM r WHERE k = top AND total >=
 """
 
 
+_NUMBER = """CASE WHEN regexp_replace(entity_id, '[^0-9]', '', 'g') = '' THEN NULL
+  WHEN jurisdiction = 'AT' THEN regexp_replace(regexp_replace(entity_id, '[^0-9]', '', 'g'), '^0+([0-9])', '\\1') || lower(regexp_extract(entity_id, '[0-9][^0-9A-Za-z]*([A-Za-z])[^0-9]*$', 1))
+  WHEN jurisdiction IN ('NO', 'DK') THEN regexp_replace(entity_id, '[^0-9]', '', 'g') END"""
+_P1 = f"""
+WITH m AS (
+  SELECT member_id, part_name = 'train' AS is_train, jurisdiction || '|' || ({_NUMBER}) AS e, coalesce(has_text, false) AS has_text,
+         coalesce({_WORDS.format("signature_key")}, '') || '|' || coalesce({_WORDS.format("procuration_key")}, '') AS t
+  FROM dedup_member),
+x AS (SELECT DISTINCT t, is_train FROM m WHERE has_text),
+g AS (SELECT t, is_train, list_distinct(list_transform(range(1, length(t) + 3), lambda i: substr('  ' || t || '  ', i, 3))) AS g FROM x),
+q AS (SELECT * FROM g WHERE NOT is_train AND t NOT IN (SELECT t FROM g WHERE is_train)),
+n AS (
+  SELECT DISTINCT q.t FROM q JOIN g b ON b.is_train AND 5 * least(len(q.g), len(b.g)) >= 4 * greatest(len(q.g), len(b.g))
+  WHERE 5 * len(list_intersect(q.g, b.g)) >= 4 * (len(q.g) + len(b.g) - len(list_intersect(q.g, b.g))))
+SELECT member_id, 'entity' AS kind FROM m WHERE NOT is_train AND e IN (SELECT e FROM m WHERE is_train AND e IS NOT NULL)
+UNION ALL SELECT member_id, 'exact' FROM m WHERE NOT is_train AND has_text AND t IN (SELECT t FROM x WHERE is_train)
+UNION ALL SELECT member_id, 'near' FROM m WHERE NOT is_train AND has_text AND t IN (SELECT t FROM n)
+"""
+_P5 = f"""
+WITH RECURSIVE k AS (
+  SELECT member_id AS m, 'r|' || jurisdiction || '|' || ({_NUMBER}) AS k FROM dedup_member
+  UNION SELECT member_id, 'c|' || cluster FROM dedup_member WHERE cluster <> ''
+  UNION SELECT member_id, 'g|' || grp FROM item JOIN dedup_member USING (rid)),
+t AS (SELECT DISTINCT a.m AS a, b.m AS b FROM k a JOIN k b USING (k)),
+r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT min(b) AS root_id, a AS member_id FROM r GROUP BY a HAVING min(b) < a
+"""
+_P8_WINDOWS = """
+  SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS k
+  FROM (SELECT {id} AS id, regexp_extract_all(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 12
+"""
+_P8 = f"""
+WITH d AS ({_P8_WINDOWS.format(id="doc_id", table="documents")}), i AS ({_P8_WINDOWS.format(id="item_id", table="heldout_item")})
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p5_found": _P5,
+        "p8_found": _P8,
         "p2_found": _P2_GROUPS + "SELECT first_id, member_id AS copy_id FROM g WHERE member_id <> first_id",
         "p2_groups": _P2_GROUPS + "SELECT DISTINCT first_id, n_copies FROM g WHERE n_copies > 1",
         "p3_found": _P3,

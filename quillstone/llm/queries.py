@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, consensus, cosine, refine, splits, suffixes
+from . import bpe, consensus, cosine, refine, splits, subjects, suffixes
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,21 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count("*").alias("n_docs"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that three or more sentences of a document deal with."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject and language."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    return _subjects(spark, sf_dir).join(langs, "doc_id").groupBy("subject", "lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
 _WORDS = "list_aggregate(regexp_extract_all(replace(lower(nfc_normalize(coalesce({0}, ''))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'), 'string_agg', ' ')"
 _P2_GROUPS = f"""
 WITH m AS (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, consensus, cosine, refine, splits, subjects, suffixes
+from . import bpe, consensus, cosine, pii, refine, splits, subjects, suffixes
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,16 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "jurisdiction").agg(F.count("*").alias("n_members"), F.count_if("has_text").alias("n_text"), F.countDistinct("root_id").alias("n_components"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of personal data."""
+    return pii.mentions(table(spark, sf_dir, "no_record")).select("record_id", "field_name", "kind", "start_pos", "end_pos")
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with every mention replaced by a placeholder."""
+    return pii.masked(table(spark, sf_dir, "no_record"), key="demonstration key")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.encode(table(spark, sf_dir, "documents"))

@@ -1,8 +1,10 @@
 """Connected components of members that share keys, by rounds of contraction.
 
 Each key ties its members to the smallest of them, one edge a member. A round points every node to the
-smallest of its neighbours and itself, shortens the pointers, rewrites the edges to the nodes pointed to
-and drops those that became loops or repeats; what is left shrinks quickly and the rounds end when no edge is left. All
+smallest of its neighbours and itself, doubles the pointers until all lead to a local minimum, rewrites the
+edges to these minima and drops those that became loops or repeats. Minima are no neighbours, so each round
+at least halves the nodes, and doubling takes as many steps as the logarithm of the longest way; the rounds
+end when no edge is left. All
 steps are sums with partial aggregation and joins that split hot keys, so that a key with a third of all
 members or a long chain of members does no harm. Every round is cut by a checkpoint.
 """
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .skew import lookup_join
 
-_JUMPS = 2
-
 
 def _follow(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
     """`rows` with `column` replaced by what it points to; nodes without a pointer stay."""
@@ -40,8 +40,11 @@ def roots(ties: DataFrame, members: DataFrame, most_rounds: int = 60) -> DataFra
             return found.select("member_id", "root_id")
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("o")).unionAll(edges.select(F.col("v").alias("node"), F.col("u").alias("o")))
         pointers = cut(both.groupBy("node").agg(F.least(F.min("o"), F.col("node")).alias("to")))
-        for _ in range(_JUMPS):
-            pointers = cut(_follow(pointers, "to", pointers).select("node", "to"))
+        while True:
+            moved = cut(_follow(pointers.withColumn("was", F.col("to")), "to", pointers))
+            pointers = moved.select("node", "to")
+            if moved.where("was <> to").isEmpty():
+                break
         found = cut(_follow(found, "root_id", pointers))
         moved = _follow(_follow(edges, "u", pointers), "v", pointers).where("u <> v")
         edges = cut(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -58,7 +58,7 @@ def test_equals_brute_force_in_small_shards_and_blocks(spark, monkeypatch):
     docs = [(i, text(rng.randint(0, 60))) for i in range(80)] + [(80, None), (81, ""), (82, items[0][1]), (82, items[0][1]), (83, "w1 " * 3000)]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     monkeypatch.setattr(suffixes, "SHARD_WORDS", 100)
-    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 400)
     got = {(r.doc_id, r.item_id) for r in suffixes.leaks(d, i, least=4).collect()}
     want = brute(docs, items, 4)
     assert got == want and want

@@ -71,7 +71,7 @@ def mask_names(text: Column, names: Column, vocabulary: list[str] = ()) -> Colum
 
     def pattern(n: Column) -> Column:
         quoted = F.regexp_replace(n, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"[\s\-]+", r"[\\\\s\\\\-]+"), F.lit(r"(?:'?s)?(?!\w)"))
+        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"[\s\-]+", r"[\\s\\-]+"), F.lit(r"(?:'?s)?(?!\w)"))
 
     def sub(t: Column, x: Column) -> Column:
         return F.regexp_replace(t, pattern(x.getField("n")), F.concat(F.lit("\x02"), x.getField("i").cast("string"), F.lit("\x03")))

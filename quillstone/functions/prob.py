@@ -65,7 +65,7 @@ def align_logits(values: Column, keys: Column) -> Column:
 
 def percent(x: Column, digits: int = 1) -> Column:
     """'98.4 %'; a dash for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f %%", x * 100), F.lit("–"))
+    return F.when(x.isNull(), "–").otherwise(F.format_string(f"%.{digits}f %%", x * 100))
 
 
 def percent_comma(x: Column, digits: int = 1) -> Column:

@@ -43,9 +43,12 @@ def test_tail_beyond_the_head(spark, monkeypatch):
 
 
 def brute(docs, items, n):
-    w = lambda t: suffixes.words(t)
-    runs = lambda t: {tuple(w(t)[i : i + n]) for i in range(len(w(t)) - n + 1)}
-    return {(d, i) for d, t in docs for i, u in items if runs(t) & runs(u)}
+    def runs(t):
+        w = suffixes.words(t)
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    d, i = [(k, runs(t)) for k, t in docs], [(k, runs(t)) for k, t in items]
+    return {(x, y) for x, a in d for y, b in i if a & b}
 
 
 def test_equals_brute_force_in_small_shards_and_blocks(spark, monkeypatch):

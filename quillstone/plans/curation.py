@@ -177,7 +177,7 @@ def shared_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 100""")
 def capitalised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred capitalised words that most documents have (a report)."""
-    w = table(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(?:^|[^\\p{L}])([A-ZÆØÅÄÖÜ]\\p{L}+)', 1, 0)"))).alias("word"))
+    w = table(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(?:^|[^\\p{L}])([A-ZÆØÅÄÖÜ]\\p{L}+)', 1)"))).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 

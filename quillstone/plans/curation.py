@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -191,10 +191,9 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""WITH p AS (SELECT event_id, user_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events)
 SELECT event_id, user_id, event_type FROM p WHERE until IS NULL""")
 def open_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that open a period which is still open."""
+    """Events that open a period which is still open: the last of each user, without a window over hot users."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    p = e.withColumn("until", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return p.where("until is null").select("event_id", "user_id", "event_type")
+    return current.latest(e, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
 @R.add("""WITH d AS (SELECT item_id, a, seq, skipped, rule_type FROM (SELECT *, lower(trim(replace(annotator, '_', '-'))) AS a, row_number() OVER (PARTITION BY item_id, lower(trim(replace(annotator, '_', '-'))) ORDER BY seq DESC) AS k FROM gold) WHERE k = 1)

@@ -9,7 +9,7 @@ The sums give a score per item and class, and a reliability per annotator.
 Round 0, where every annotator counts alike, is the plurality of votes; the label it singles out is the
 item's consensus. Where it ties, `label` is null and `scored_label` breaks the tie by reliability.
 
-State is one row an edge and class; each round has a sum by item and a sum by annotator, both
+State is one narrow row an edge and class; each round has a sum by item and a sum by annotator, both
 with partial aggregation, and the sums come back through joins that split hot keys. Rounds are cut by
 checkpoints.
 
@@ -57,31 +57,27 @@ def current_votes(gold: DataFrame) -> DataFrame:
 
 
 def pass_messages(votes: DataFrame, most_rounds: int = 6, settled: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """(item_id, question, label, n_votes, score) of every voted class, and (annotator, question, reliability).
+    """(item_id, question, label, n_votes, n_all, score) of every voted class, and (annotator, question, reliability, n_items).
 
     Edges of an item are laid out for the classes that have a vote on that item; for all others every
-    message has the sign -1 and none can win."""
-    classes = votes.groupBy("item_id", "question").agg(F.collect_set("label").alias("classes"), F.count("*").alias("n"))
-    laid = votes.join(classes, ["item_id", "question"]).select(
-        "item_id", "annotator", "question", F.explode("classes").alias("class"), "n", F.col("label").alias("voted")
-    )
-    edges = laid.select(
-        F.xxhash64("item_id", "question", "class").alias("i"),
-        F.xxhash64("annotator", "question").alias("a"),
-        "item_id", "annotator", "question", "class", "n",
-        F.when(F.col("class") == F.col("voted"), 1.0).otherwise(-1.0).alias("sign"),
-    )
-    edges = cut(edges.withColumn("y", F.lit(1.0)))
+    message has the sign -1 and none can win. Rounds carry two 64-bit hashes, a sign and a message an edge;
+    names come back at the end."""
+    votes = cut(votes)
+    cell, rater = F.xxhash64("item_id", "question", "label"), F.xxhash64("annotator", "question")
+    classes = votes.groupBy("item_id", "question").agg(F.collect_set("label").alias("classes"), F.count("*").alias("n_all"))
+    laid = votes.join(classes, ["item_id", "question"]).select("item_id", "question", rater.alias("a"), F.explode("classes").alias("class"), F.col("label").alias("voted"))
+    sign = F.when(F.col("class") == F.col("voted"), 1.0).otherwise(-1.0).cast("float")
+    edges = cut(laid.select(F.xxhash64("item_id", "question", "class").alias("i"), "a", sign.alias("sign"), F.lit(1.0).alias("y")))
     before: float | None = None
     for _ in range(most_rounds):
         # Items to annotators: x = sum of the others' signed messages.
         sums = edges.groupBy("i").agg(F.sum(F.col("sign") * F.col("y")).alias("sx"))
-        x = edges.join(sums, "i").withColumn("x", F.col("sx") - F.col("sign") * F.col("y"))
+        x = edges.join(sums, "i").select("i", "a", "sign", (F.col("sx") - F.col("sign") * F.col("y")).alias("x"))
         # Annotators to items: agreement with the messages of their other items.
         per = x.groupBy("a").agg(F.sum(F.col("sign") * F.col("x")).alias("sy"), F.count("*").alias("na"))
         y = lookup_join(x, per.select("a", "na", F.struct("sy", "na").alias("g")), "a", "na", "g")
-        y = y.withColumn("y", (F.col("g.sy") - F.col("sign") * F.col("x")) / F.greatest(F.col("g.na") - 1, F.lit(1)))
-        y = cut(y.select("i", "a", "item_id", "annotator", "question", "class", "n", "sign", "y"))
+        y = y.select("i", "a", "sign", ((F.col("g.sy") - F.col("sign") * F.col("x")) / F.greatest(F.col("g.na") - 1, F.lit(1))).alias("y"))
+        y = cut(y)
         scale = y.agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("s"), F.avg("y").alias("m")).first()
         if not scale["s"]:
             break
@@ -90,11 +86,12 @@ def pass_messages(votes: DataFrame, most_rounds: int = 6, settled: float = 1e-3)
         if before is not None and abs(now - before) < settled:
             break
         before = now
-    scores = edges.groupBy("item_id", "question", F.col("class").alias("label")).agg(
-        F.count_if(F.col("sign") > 0).alias("n_votes"), F.max("n").alias("n_all"), F.sum(F.col("sign") * F.col("y")).alias("score")
-    )
-    trust = edges.groupBy("annotator", "question").agg(F.avg("y").alias("reliability"), F.countDistinct("item_id").alias("n_items"))
-    return scores, trust
+    summed = edges.groupBy("i").agg(F.sum(F.col("sign") * F.col("y")).alias("score"))
+    cells = votes.groupBy("item_id", "question", "label").agg(F.count("*").alias("n_votes")).withColumn("i", cell)
+    scores = cells.join(summed, "i").join(classes.select("item_id", "question", "n_all"), ["item_id", "question"])
+    trusted = edges.groupBy("a").agg(F.avg("y").alias("reliability"))
+    raters = votes.groupBy("annotator", "question").agg(F.count("*").alias("n_items")).withColumn("a", rater)
+    return scores.drop("i"), raters.join(trusted, "a").drop("a")
 
 
 def consensus(gold: DataFrame) -> tuple[DataFrame, DataFrame]:

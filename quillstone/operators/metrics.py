@@ -52,7 +52,8 @@ def prefix_sums(rows: DataFrame, by: list[str], order: list[Column], sums: list[
     """Adds `k`, the place of each row in its group by `order` (from 1), and for each of `sums` the sum up to it.
 
     Rows are ranged over partitions by group and order; each partition is summed on its own, and what lies before it
-    comes from one row a partition and group."""
+    comes from one row a partition and group. Columns of these names that rows have already are replaced."""
+    rows = rows.drop("k", "n_all", "_p", "_k", *[f"cum_{s}" for s in sums])
     parts = width(rows.sparkSession)
     laid = cut(rows.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()))
     totals = laid.groupBy(*by, "_p").agg(F.count("*").alias("_k"), *[F.sum(s).alias(f"_s_{s}") for s in sums])

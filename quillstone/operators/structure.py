@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import xml.parsers.expat
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -81,8 +82,8 @@ def _code_of(node: dict, path: tuple[str, ...]) -> str | None:
     return _scalar(at)
 
 
-def run_automaton(shapes: dict[str, Shape], start: str, root: object) -> Iterator[tuple[str, tuple[int, ...], str, str]]:
-    """Yields (child, positions, code, shape of the node's place) of each node that gives a row."""
+def run_automaton(shapes: dict[str, Shape], start: str, root: object, code_of: Callable = _code_of) -> Iterator[tuple[str, tuple[int, ...], str, str]]:
+    """Yields (child, positions, code, shape of the node's place) of each node that gives a row; code_of reads the code off a node."""
     todo: list[tuple[str, object, tuple[int, ...]]] = [(start, root, ())]
     while todo:
         state, value, places = todo.pop()
@@ -108,7 +109,7 @@ def run_automaton(shapes: dict[str, Shape], start: str, root: object) -> Iterato
                 continue
             at = places if place is None else (*places, place)
             if shape.child is not None:
-                code = _code_of(node, shape.code)
+                code = code_of(node, shape.code)
                 if code is not None or not shape.code_required:
                     yield shape.child, at, code or "", seen
             for key, after in shape.steps.items():
@@ -197,6 +198,15 @@ LOOKUP_SHAPES = {
     "combination": Shape(steps={"personRolleKombinasjon": "person"}, repeated=True, child="kombinasjon", code=("kode",)),
     "person": Shape(repeated=True, child="kombinasjon_person", code=("rolle", "kode")),
 }
+#: All places of lookup bodies that name people: the two lists of the basis and the combinations.
+HOLDER_SHAPES = {
+    "body": Shape(steps={"signeringsGrunnlag": "basis", "signeringsKombinasjon": "combinations"}),
+    "basis": Shape(steps={"muligeSigneringsRoller": "people", "signaturProkuraRoller": "people"}),
+    "people": Shape(steps={"personRolleGrunnlag": "person"}),
+    "combinations": Shape(steps={"kombinasjon": "combination"}),
+    "combination": Shape(steps={"personRolleKombinasjon": "person"}, repeated=True),
+    "person": Shape(repeated=True, child="person", code=("rolle", "kode")),
+}
 #: Extract bodies: representation texts of each function.
 EXTRACT_SHAPES = {
     "document": Shape(steps={"AUSZUG_V2_RESPONSE": "response", "Envelope": "document", "Body": "document"}),
@@ -212,6 +222,21 @@ def lookup_nodes(lookups: DataFrame) -> DataFrame:
     return nodes(lookups, "lookup_id", "body", LOOKUP_SHAPES, "body", "json")
 
 
+def holders(lookups: DataFrame) -> DataFrame:
+    """Distinct (orgnr, name, role) of the people named in lookup bodies; the name composed, with single spaces, or null; a missing role is '?'."""
+
+    def name_and_role(node: dict, path: tuple[str, ...]) -> tuple[str | None, str]:
+        name, role = _scalar(node.get("navn")), _code_of(node, path)
+        return None if name is None else unicodedata.normalize("NFC", " ".join(name.split())), role or "?"
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, *nr) for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, _, nr, _ in run_automaton(HOLDER_SHAPES, "body", read_json(text), name_and_role)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["orgnr", "name", "role"])
+
+    return lookups.where("body is not null").select("orgnr", "body").mapInArrow(scan, "orgnr string, name string, role string").distinct()
+
+
 def extract_nodes(extracts: DataFrame) -> DataFrame:
     """Child rows of the extract table (extract_id, body)."""
     return nodes(extracts, "extract_id", "body", EXTRACT_SHAPES, "document", "xml")

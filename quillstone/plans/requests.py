@@ -128,16 +128,8 @@ def wording_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(F.coalesce(phrases.read_line(F.col("code")).getField("kind"), F.lit("not in the table")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("n_extracts"))
 
 
-_PEOPLE = "struct<navn:string,rolle:struct<kode:string>>"
-_BODY = f"struct<signeringsGrunnlag:struct<muligeSigneringsRoller:struct<personRolleGrunnlag:array<{_PEOPLE}>>,signaturProkuraRoller:struct<personRolleGrunnlag:array<{_PEOPLE}>>>,signeringsKombinasjon:struct<kombinasjon:array<struct<personRolleKombinasjon:array<{_PEOPLE}>>>>>"
-
-
 @R.add(None)
 def holders_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct persons by role and lookup, from the three places where bodies name people (rows only)."""
-    b = table(spark, sf_dir, "fullmakt_signatur_rf").where("body is not null").select("orgnr", F.from_json("body", _BODY).alias("b")).where("b is not null")
-    none = F.array().cast(f"array<{_PEOPLE}>")
-    combos = F.flatten(F.transform(F.coalesce(F.col("b.signeringsKombinasjon.kombinasjon"), F.array().cast(f"array<struct<personRolleKombinasjon:array<{_PEOPLE}>>>")), lambda k: F.coalesce(k.personRolleKombinasjon, none)))
-    people = F.flatten(F.array(F.coalesce(F.col("b.signeringsGrunnlag.muligeSigneringsRoller.personRolleGrunnlag"), none), F.coalesce(F.col("b.signeringsGrunnlag.signaturProkuraRoller.personRolleGrunnlag"), none), combos))
-    p = b.select("orgnr", F.explode(people).alias("p")).select("orgnr", F.regexp_replace(F.trim("p.navn"), r"\s+", " ").alias("name"), F.coalesce("p.rolle.kode", F.lit("?")).alias("role"))
+    p = S.holders(table(spark, sf_dir, "fullmakt_signatur_rf"))
     return p.groupBy("role").agg(F.countDistinct("orgnr", "name").alias("n_holders"), F.countDistinct("orgnr").alias("n_companies"))

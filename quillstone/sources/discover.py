@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.structure import unwrap
+
 
 def _walk(value: object, path: str) -> Iterator[tuple[str, object]]:
-    """(path, value) of every key at any depth; elements of a list share the path with '[]'."""
+    """(path, value) of every key at any depth; elements of a list share the path with '[]', text that holds JSON is read through."""
     todo = [(path, value)]
     while todo:
         at, v = todo.pop()
+        if isinstance(v, str) and v.lstrip()[:1] in ("{", "[", '"'):
+            v = unwrap(v)
         if isinstance(v, dict):
             for k, x in v.items():
                 p = f"{at}.{k}" if at else str(k)

@@ -64,3 +64,21 @@ def test_subtype_tables_keep_parent_links(spark):
     persons = S.subtype(tree, "kombinasjon_person", record_id=F.col("record_id"), combination=F.col("pos1"), person=F.col("pos2"), role=F.col("code"))
     combos = S.subtype(tree, "kombinasjon", record_id=F.col("record_id"), combination=F.col("pos1"))
     assert persons.join(combos, ["record_id", "combination"], "left_anti").count() == 0
+
+
+def test_holders_in_every_shape(spark):
+    person = lambda n, k: {"navn": n, "rolle": {"kode": k}}
+    body = {
+        "signeringsGrunnlag": {"muligeSigneringsRoller": {"personRolleGrunnlag": person("A  B", "LEDE")}, "signaturProkuraRoller": {"personRolleGrunnlag": [person("C", "MEDL"), {"navn": "D"}]}},
+        "signeringsKombinasjon": {"kombinasjon": {"personRolleKombinasjon": person("A\u030a", "DAGL")}},
+    }
+    want = [("A B", "LEDE"), ("C", "MEDL"), ("D", "?"), ("\u00c5", "DAGL")]
+    df = spark.createDataFrame([("1", json.dumps(body)), ("2", json.dumps(json.dumps(body))), ("2", json.dumps(body)), ("3", "{"), ("4", None)], "orgnr string, body string")
+    assert sorted(tuple(r) for r in S.holders(df).collect()) == [(n, *w) for n in "12" for w in want]
+
+
+def test_key_paths_of_wrapped_bodies(spark):
+    from quillstone.sources.discover import key_paths
+
+    df = spark.createDataFrame([(json.dumps(json.dumps({"a": [{"b": 1}]})),), (json.dumps({"a": json.dumps({"b": "{"})}),)], "body string")
+    assert sorted(tuple(r) for r in key_paths(df, "body").collect()) == [("a", 2), ("a.b", 1), ("a[].b", 1)]

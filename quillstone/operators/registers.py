@@ -30,7 +30,9 @@ def try_dates(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd.MM.yyyy",
 
 
 def extract_functions(extracts: DataFrame, today: str = "2025-01-01") -> DataFrame:
-    """One row a function entry in force: (extract_id, pnr, fken, vart, vsbeide, n_texts), by the built-in XML reader.
+    """One row a function entry in force: (extract_id, pnr, fken, vart, vsbeide, n_texts, wording), by the built-in XML reader.
+
+    The wording is TEXT and what it lacks of TXTVERTR, else the text of the code; null if there is none.
 
     An entry counts unless it is superseded or ended by `today`; an extract that can't be read has no rows."""
     plain = F.regexp_replace(F.regexp_replace("body", r"(</?)\w+:", "$1"), r"\s\w+:(\w+=)", " $1")
@@ -38,8 +40,11 @@ def extract_functions(extracts: DataFrame, today: str = "2025-01-01") -> DataFra
     fun = extracts.dropDuplicates(["extract_id"]).select("extract_id", F.explode(x.getField("FUN")).alias("f"))
     e = fun.select("extract_id", F.col("f._PNR").alias("pnr"), F.col("f._FKEN").alias("fken"), F.explode("f.FU_DKZ10").alias("e"))
     held = (F.coalesce(F.col("e._AUFRECHT"), F.lit("true")) != "false") & (F.coalesce(F.substring("e.DATBIS", 1, 10), F.lit("9999")) > today)
-    texts = F.size(F.filter(F.coalesce(F.col("e.TXTVERTR"), F.array().cast("array<string>")), lambda t: t.isNotNull() & (F.trim(t) != "")))
-    return e.where(held).select("extract_id", "pnr", "fken", F.col("e.VART.CODE").alias("vart"), F.col("e.VSBEIDE.CODE").alias("vsbeide"), texts.alias("n_texts"))
+    said = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: t.isNotNull() & (F.trim(t) != ""))
+    texts = F.size(said("e.TXTVERTR"))
+    wording = join_fragments(F.concat(said("e.TEXT"), append_missing(F.array_join(said("e.TEXT"), ""), said("e.TXTVERTR"))))
+    wording = F.coalesce(F.nullif(wording, F.lit("")), F.nullif(F.trim("e.VART.TEXT"), F.lit("")))
+    return e.where(held).select("extract_id", "pnr", "fken", F.col("e.VART.CODE").alias("vart"), F.col("e.VSBEIDE.CODE").alias("vsbeide"), texts.alias("n_texts"), wording.alias("wording"))
 
 
 def coded_answers(functions: DataFrame) -> DataFrame:

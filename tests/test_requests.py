@@ -82,3 +82,25 @@ def test_company_rules(spark):
     ]
     got = {r.company: (list(r.alternatives), r.person_specific) for r in phrases.company_rules(spark.createDataFrame(rows, "company string, office string, text string, code string")).collect()}
     assert got == {"a": (["CEO:1"], False), "b": (["CEO:2"], True), "e": (["CHAIR:1"], False), "f": (["CEO:2"], True)}
+
+
+def test_rules_come_from_the_wording(spark, tmp_path):
+    from quillstone.plans.requests import representation_rules
+
+    def extract(*entries):
+        return "<AUSZUG_V2_RESPONSE>" + "".join(f'<FUN PNR="{i}" FKEN="GF"><FU_DKZ10>{e}</FU_DKZ10></FUN>' for i, e in enumerate(entries)) + "</AUSZUG_V2_RESPONSE>"
+
+    code = lambda c, *ts: f"<VART><CODE>{c}</CODE></VART>" + "".join(f"<TXTVERTR>{t}</TXTVERTR>" for t in ts)
+    bodies = {
+        1: extract(code("E")),
+        2: extract(code("G", "vertritt gemeinsam mit einem weiteren Geschäfts-", "führer")),
+        3: extract(code("G")),
+        4: extract(code("E"), code("G", "unklar")),
+        5: extract(code("E", "gemeinsam mit einem Prokuristen")),
+        6: extract(code("E"), ""),
+        7: extract(code("G") + "<TEXT>vertritt gemeinsam mit</TEXT><TEXT>einem Prokuristen</TEXT><TXTVERTR>einem Prokuristen</TXTVERTR>"),
+        8: extract(code("E"), code("X")),
+    }
+    spark.createDataFrame(list(bodies.items()), "extract_id bigint, body string").write.parquet(f"{tmp_path}/at_extract.parquet")
+    got = {r.company: list(r.alternatives) for r in representation_rules(spark, str(tmp_path)).collect()}
+    assert got == {1: ["CEO:1"], 2: ["CEO:2"], 7: ["CEO:1;PROKURIST:1"], 8: ["CEO:1"]}

@@ -195,11 +195,11 @@ def universe(spark: SparkSession, named: bool = True) -> DataFrame:
     return both.select(*[out[q].cast("string").alias(q) for q in STRUCTURAL]).distinct()
 
 
-def consistent(predicted: DataFrame, id: str) -> DataFrame:
+def consistent(predicted: DataFrame, id: str, named: bool = True) -> DataFrame:
     """(id, consistent): whether some rule gives all the structural answers predicted (columns STRUCTURAL as strings, null: not asked).
 
-    Fewer than two answers always fit. What a rule leaves open fits any prediction, but for its type."""
-    u = cut(universe(predicted.sparkSession))
+    Fewer than two answers always fit. What a rule leaves open fits any prediction, but for its type. named: rules with a named signatory count too."""
+    u = cut(universe(predicted.sparkSession, named))
     u = u.select(*[F.col(q).alias(f"u_{q}") for q in STRUCTURAL])
     keys = predicted.select(*STRUCTURAL).distinct()
     cond = F.lit(True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-from ..operators import calibrate, metrics, phrases, registers, requests
+from ..operators import calibrate, metrics, ontology, phrases, registers, requests
 from ..operators import structure as S
 from ..session import table
 from .evaluation import _POLICY, _SCORED
@@ -73,14 +73,29 @@ def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.coalesce("label", "code").alias("label"), F.coalesce("ord", F.lit(99)).alias("ord")).agg(F.count("*").alias("n_records"), F.sum("n").alias("n_holders"))
 
 
+def _gates(items: DataFrame, members: DataFrame) -> DataFrame:
+    """(rid, name_risk, consistent): whether a name may be left in a request's texts, and whether some rule gives all its structural answers;
+    rules with a named signatory count only where its roles show one."""
+    state = F.col("request.state")
+    risk = lambda t: F.coalesce(*[F.when(F.col("jurisdiction") == k, privacy.residual_name(t, ws)) for k, ws in privacy.LEGAL_WORDS.items()], privacy.residual_name(t, privacy.LEGAL_WORDS["NO"]))
+    named = F.coalesce(F.exists(state.getField("roles"), lambda r: F.lower(r.getField("role")).contains("signatur")), F.lit(False))
+    m = members.select("rid", (risk(state.getField("signature_rule")) | risk(state.getField("procuration_rule"))).alias("name_risk"), named.alias("named"))
+    option = F.coalesce(*[F.when(F.col("qid") == q, F.get(F.array(*[F.lit(o) for o in os]), F.col("pred"))) for q, os in requests.CHOICES.items()], F.when(F.col("qtype") == "noul", (F.col("pred") == 1).cast("string")))
+    said = items.where("pred is not null and conf is not null").groupBy("rid").agg(*[F.max(F.when(F.col("qid") == q, option)).alias(q) for q in ontology.STRUCTURAL]).join(m, "rid")
+    fits = ontology.consistent(said.where("named"), "rid").unionAll(ontology.consistent(said.where("not named"), "rid", named=False))
+    return m.select("rid", "name_risk").join(fits, "rid", "left")
+
+
 @R.add("""@p, x AS (SELECT CASE WHEN qid = 'parseable' THEN 'experimental' WHEN p.threshold IS NULL OR conf < p.threshold THEN 'threshold' ELSE 'answered' END AS reason, s.qtype FROM s JOIN p USING (qtype) WHERE p.alpha = 0.05)
 SELECT qtype, reason, count(*) AS n FROM x GROUP BY ALL""", p=_POLICY)
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why answers are withheld at a risk of five per cent."""
-    s = metrics.scored(table(spark, sf_dir, "item"))
+    items, members = table(spark, sf_dir, "item"), table(spark, sf_dir, "dedup_member")
+    s = metrics.scored(items)
     policy = calibrate.certify(s, ["qtype"], [0.05]).select("qtype", "threshold")
-    j = s.join(F.broadcast(policy), "qtype")
-    why = requests.abstain(F.lit(False), F.col("conf"), F.col("threshold"), F.lit(True), F.col("qid") == "parseable")
+    j = s.join(F.broadcast(policy), "qtype").join(_gates(items, members), "rid", "left")
+    fits = F.coalesce("consistent", F.lit(True)) | ~F.col("qid").isin(*ontology.STRUCTURAL)
+    why = requests.abstain(F.coalesce("name_risk", F.lit(False)), F.col("conf"), F.col("threshold"), fits, F.col("qid") == "parseable")
     return j.groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
 
 

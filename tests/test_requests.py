@@ -104,3 +104,17 @@ def test_rules_come_from_the_wording(spark, tmp_path):
     spark.createDataFrame(list(bodies.items()), "extract_id bigint, body string").write.parquet(f"{tmp_path}/at_extract.parquet")
     got = {r.company: list(r.alternatives) for r in representation_rules(spark, str(tmp_path)).collect()}
     assert got == {1: ["CEO:1"], 2: ["CEO:2"], 7: ["CEO:1;PROKURIST:1"], 8: ["CEO:1"]}
+
+
+def test_all_four_reasons(spark, tmp_path):
+    from quillstone.plans.requests import decision_reasons
+
+    texts = {0: "Signatur av Ola Nordmann alene.", 2: "Selskapet tegnes av Styrets Leder."}
+    members = [(f"r{i}", "NO", ((texts.get(i, "Daglig leder alene."), None, [("Daglig leder", 1)]),)) for i in range(400)]
+    state = "state:struct<signature_rule:string,procuration_rule:string,roles:array<struct<role:string,count:int>>>"
+    spark.createDataFrame(members, f"rid string, jurisdiction string, request struct<{state}>").write.parquet(f"{tmp_path}/dedup_member.parquet")
+    items = [(f"r{i}", q, t, p, p, 0.3 if i == 3 else 0.99) for i in range(400) for q, t, p in (("ceo_alone", "noul", 1), ("prokura_joint", "noul", 1), ("parseable", "noul", 1), ("min_signers", "choice", int(i == 1)))]
+    spark.createDataFrame(items, "rid string, qid string, qtype string, y int, pred int, conf double").write.parquet(f"{tmp_path}/item.parquet")
+    got = {(r.qtype, r.reason): r.n for r in decision_reasons(spark, str(tmp_path)).collect()}
+    want = {("noul", "name risk"): 2, ("noul", "inconsistent"): 1, ("noul", "experimental"): 400, ("choice", "name risk"): 1, ("choice", "inconsistent"): 1}
+    assert {k: got.get(k) for k in want} == want and sum(got.values()) == 1600 and got["noul", "answered"] >= 795

@@ -87,18 +87,20 @@ def mail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(None)
 def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with identity numbers, birth dates and e-mail addresses replaced, by built-in expressions only."""
-    n = table(spark, sf_dir, "no_record")
-    t = F.col("signature_text")
-    return n.select("record_id", privacy.redact(t).alias("text"), privacy.redactions(t).alias("n"))
+    """Both texts of records with identity numbers, birth dates and e-mail addresses replaced, by built-in expressions only."""
+    both = ("signature_text", "procuration_text")
+    count = lambda c: F.coalesce(privacy.redactions(F.col(c)), F.lit(0))
+    return table(spark, sf_dir, "no_record").select("record_id", *[privacy.redact(F.col(c)).alias(c) for c in both], F.when(F.coalesce(*both).isNotNull(), count(both[0]) + count(both[1])).alias("n"))
 
 
 @R.add(None)
 def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with the listed names as numbered tokens, and whether a name seems to be left."""
-    n = table(spark, sf_dir, "no_record").where("signature_text is not null")
-    m = n.select("record_id", privacy.mask_names(F.col("signature_text"), F.coalesce("person_names", F.array().cast("array<string>"))).alias("text"))
-    return m.withColumn("residual", privacy.residual_name(F.col("text"), ["styret", "leder", "kr", "nok"]))
+    """Both texts of records with the listed names as numbered tokens, and whether a name seems to be left in either."""
+    both = ("signature_text", "procuration_text")
+    names = F.coalesce("person_names", F.array().cast("array<string>"))
+    m = table(spark, sf_dir, "no_record").where(F.coalesce(*both).isNotNull()).select("record_id", *[privacy.mask_names(F.col(c), names).alias(c) for c in both])
+    left = [privacy.residual_name(F.col(c), ["styret", "leder", "kr", "nok"]) for c in both]
+    return m.withColumn("residual", left[0] | left[1])
 
 
 @R.add("""SELECT kind, status_code, count(*) AS n, count(body) AS n_bodies, coalesce(count_if(CASE WHEN json_valid(body) THEN json_type(body) END = 'OBJECT'), 0) AS n_objects FROM (SELECT DISTINCT ON (lookup_id) * FROM fullmakt_signatur_rf) GROUP BY ALL""")

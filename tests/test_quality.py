@@ -160,3 +160,14 @@ def test_predictors(spark):
     assert out[0].prediction != out[1].prediction
     assert predictors.text_classifier(rows.where("l = 'obst'"), "t", "l") is None
     assert spark.range(1).select(predictors.keyword_rule(F.lit("vertritt selbständig"), ["selbständig"], ["gemeinsam"])).first()[0] is True
+
+
+def test_both_texts_are_redacted_and_masked(spark, tmp_path):
+    from quillstone.plans.rules import masked_names, redacted_texts
+
+    rows = [(1, "Ola Nordmann, a@b.no", "kari@c.no og Ola Nordmann", ["Ola Nordmann"]), (2, None, "signeres av Kari Hansen, x@y.no", None), (3, None, None, ["A"]), (4, "alene", "", None)]
+    spark.createDataFrame(rows, "record_id bigint, signature_text string, procuration_text string, person_names array<string>").write.parquet(f"{tmp_path}/no_record.parquet")
+    got = sorted(tuple(r) for r in redacted_texts(spark, str(tmp_path)).collect())
+    assert got == [(1, "Ola Nordmann, [EMAIL]", "[EMAIL] og Ola Nordmann", 2), (2, None, "signeres av Kari Hansen, [EMAIL]", 1), (3, None, None, None), (4, "alene", "", 0)]
+    got = sorted(tuple(r) for r in masked_names(spark, str(tmp_path)).collect())
+    assert got == [(1, "[PERSON_1], a@b.no", "kari@c.no og [PERSON_1]", False), (2, None, "signeres av Kari Hansen, x@y.no", True), (4, "alene", "", False)]

@@ -170,11 +170,22 @@ SECRETS = {
     "personal token": "gh[pousr]_[A-Za-z0-9]{30,}",
     "web token": "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}",
     "assigned secret": "(?i)(password|passwd|secret|api[_-]?key)[ ]*[:=][ ]*[^ ]{6,}",
+    "quoted secret": """(?i)(?:api[_-]?key|x-api-key|secret|password|passwd|token)["']?\\s*[:=]\\s*["'][^"'\\s]{12,}["']""",
+    "fine-grained token": r"\bgithub_pat_[A-Za-z0-9_]{40,}",
+    "model hub token": r"\bhf_[A-Za-z0-9]{30,}",
+    "service key": r"\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}",
+    "birth date": r"""(?iu)["']?(?:f[oø]e?dsels(?:dato|nummer)|birth_?date|date_?of_?birth|geburtsdatum|s[uü]nniaeg|s[uü]nnikuup[aä]ev|isikukood|cpr(?:_?nummer)?)["']?\s*[:=]\s*["']?\d""",
 }
+#: A Danish personal number; its first six digits must be a day.
+_CPR = r"(?<![0-9A-Za-z])(\d{6})-\d{4}(?![0-9A-Za-z])"
+SECRET_KINDS = (*SECRETS, "CPR number")
 
 
 def secret_lines(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, line, kind) of lines with a secret; the value is never given."""
     lines = df.where(F.col(text).isNotNull()).select(id, F.posexplode(F.split(F.col(text), "\n")).alias("line", "_l"))
-    kinds = F.filter(F.array(*[F.when(F.col("_l").rlike(p), k) for k, p in SECRETS.items()]), lambda k: k.isNotNull())
+    # The digits before the hyphen are day, month and year of the last century.
+    day = lambda d: F.try_to_date(F.concat(F.lit("19"), F.substring(d, 5, 2), F.substring(d, 3, 2), F.substring(d, 1, 2)), "yyyyMMdd")
+    cpr = F.exists(F.regexp_extract_all("_l", F.lit(_CPR), F.lit(1)), lambda d: day(d).isNotNull())
+    kinds = F.filter(F.array(*[F.when(F.col("_l").rlike(p), k) for k, p in SECRETS.items()], F.when(cpr, "CPR number")), lambda k: k.isNotNull())
     return lines.select(id, "line", F.explode(kinds).alias("kind"))

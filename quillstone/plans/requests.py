@@ -116,7 +116,7 @@ UNION ALL SELECT 'access key', count_if(regexp_matches(l, 'AKIA[0-9A-Z]{16}')) F
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with secrets, by kind; the values are never given."""
     found = requests.secret_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))
-    kinds = spark.createDataFrame([("assigned secret",), ("access key",)], "kind string")
+    kinds = spark.createDataFrame([(k,) for k in requests.SECRET_KINDS], "kind string")
     return kinds.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -118,3 +118,15 @@ def test_all_four_reasons(spark, tmp_path):
     got = {(r.qtype, r.reason): r.n for r in decision_reasons(spark, str(tmp_path)).collect()}
     want = {("noul", "name risk"): 2, ("noul", "inconsistent"): 1, ("noul", "experimental"): 400, ("choice", "name risk"): 1, ("choice", "inconsistent"): 1}
     assert {k: got.get(k) for k in want} == want and sum(got.values()) == 1600 and got["noul", "answered"] >= 795
+
+
+def test_secret_scan_has_every_kind(spark, tmp_path):
+    from quillstone.plans.requests import secret_scan
+
+    a = "a" * 45
+    lines = {
+        "private key": "-----BEGIN RSA PRIVATE KEY-----", "access key": "AKIA" + "A" * 16, "personal token": "ghp_" + a, "web token": f"eyJ{a}.{a}.{a}", "assigned secret": "passwd=abcdef1", "quoted secret": '"token": "abcdefghijkl"',
+        "fine-grained token": "github_pat_" + a, "model hub token": "hf_" + a, "service key": "sk-ant-" + a, "birth date": "Fødselsdato: 1.1.1970", "CPR number": "310170-1234",
+    }
+    spark.createDataFrame([(1, "\n".join([*lines.values(), "310270-1234", "x310170-1234", "token"]))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.kind: r.n for r in secret_scan(spark, str(tmp_path)).collect()} == {k: 1 for k in lines}

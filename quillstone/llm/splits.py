@@ -98,7 +98,7 @@ def _searched(components: DataFrame, measures: Sequence[str], shares: Sequence[t
         pdf = pdf.sort_values("root_id")
         size = pdf[columns].to_numpy(float)
         ids = pdf["root_id"].to_numpy(np.int64)
-        cost, at = anneal(size, _hashed(ids, part, SEED), ratio * size.sum(axis=0), SEED + int(key[1]), min(60_000, 200 + steps_per * len(ids)))
+        cost, at = anneal(size, _hashed(ids, part, SEED), ratio * size.sum(axis=0), SEED + int(key[1]), 200 + steps_per * len(ids))
         return pd.DataFrame({"root_id": ids, "chunk": key[0], "cost": cost, "chain": key[1], "split": [names[s] for s in at]})
 
     chains = components.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))

@@ -76,3 +76,22 @@ def test_longest_match_and_place(spark):
     d = spark.createDataFrame([(1, doc, "x"), (2, "to " + item.replace("seks", "6"), "x")], "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame([(9, item)], "item_id bigint, text string")
     assert [tuple(r) for r in suffixes.leaks(d, i).collect()] == [(1, 9, 13, 1, 0)]
+
+
+def test_effort_a_component_is_the_same_in_large_chunks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import splits
+
+    n, shares = 7_000, splits.SHARES
+    part = np.array([p for _, p in shares])
+    size = np.stack([1.0 + np.arange(n) % 7, np.arange(n) % 3], axis=1)
+    wanted = part[:, None] * size.sum(axis=0)
+    df = spark.range(n).select(F.col("id").alias("root_id"), (1 + F.col("id") % 7).alias("n"), (F.col("id") % 3).alias("m"), F.lit(0).alias("chunk"))
+    got = {r.root_id: r.split for r in splits._searched(df, ["n", "m"], shares, wanted, size.sum(axis=0), 10).collect()}
+    start = splits._hashed(np.arange(n), part / part.sum(), splits.SEED)
+    ratio = wanted / size.sum(axis=0)
+    tries = [splits.anneal(size, start, ratio * size.sum(axis=0), splits.SEED + c, 200 + 10 * n) for c in range(splits.CHAINS)]
+    best = min(tries, key=lambda t: t[0])[1]
+    assert [got[i] for i in range(n)] == [shares[s][0] for s in best]

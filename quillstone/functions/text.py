@@ -1,7 +1,8 @@
 """Text functions: words, keys, register numbers.
 
-Composition to NFC and full case folding have no built-in function in Spark, so they run as Arrow
-UDFs; everything else is built in.
+Composition to NFC and full case folding have no built-in function in Spark. Texts in which lower case
+does the same as both (PLAIN characters only) are folded by built-in functions; only others go through an
+Arrow UDF. Everything else is built in.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ BLANKS = r"(?U)[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 #: Dash characters that text keys write as '-' (fixed values).
 DASHES = "‐‑‒–—―−"
 
+#: Any character outside those that NFC leaves as they are and that fold to their lower case (but for 'ß', which folds to 'ss'),
+#: as a Java pattern: ASCII, letters of Latin-1 and Latin Extended-A without special cases, general punctuation.
+NOT_PLAIN = r"[^\x{00}-\x{7F}\x{A0}-\x{B4}\x{B6}-\x{12F}\x{132}-\x{148}\x{14A}-\x{17E}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+
 
 def fold(text: str | None) -> str:
     """NFC, then full case folding; null is ''."""
@@ -34,9 +39,17 @@ def words(text: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.StringType())
-def words_joined(s: pd.Series) -> pd.Series:
-    """Words joined by single spaces."""
-    return s.map(lambda t: " ".join(words(t)))
+def _words_joined(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else " ".join(words(t)))
+
+
+def words_joined(c: Column | str) -> Column:
+    """Words joined by single spaces; null is ''."""
+    c = F.col(c) if isinstance(c, str) else c
+    odd = c.rlike(NOT_PLAIN)
+    lower = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    plain = F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " "))
+    return F.coalesce(F.when(odd, _words_joined(F.when(odd, c))).otherwise(plain), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())

@@ -154,3 +154,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(t.limit(1)).startswith("| id | t |")
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(20), most=10)
+
+
+def test_words_of_plain_and_other_characters(spark):
+    from quillstone.functions.text import words, words_joined
+
+    texts = [chr(i) + "a" + chr(i).upper() + " 1" + chr(i) for i in [*range(1, 0x250), *range(0x2000, 0x2070), 0xFB01, 0x1E9E, 0x212A, 0x3D0]]
+    texts += ["", " -- ", "a\u030aB", "Straße\nÆØÅ_x", "x" * 70_000 + "ß", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.w for r in df.select("i", words_joined("t").alias("w")).collect()}
+    assert got == {i: " ".join(words(t)) for i, t in enumerate(texts)}

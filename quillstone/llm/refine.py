@@ -1,13 +1,17 @@
 """Records that differ only in writing or order, collapsed by progressive partition refinement.
 
-Round 1 splits all rows by cheap invariants, which equal records are bound to share: the plain key
-columns, the number of letters and digits of each folded text, the histogram of its letters, and the
-size and total of the bag. Rows that are alone in their class are done. Round 2 computes the costly
-key, the words of each text and the sorted bag, only for rows in classes with several members.
+One scan gives every row a narrow record: its id, two classes and a key, all hashes. Three rounds then refine
+the partition, each only inside the classes that still have several members:
 
-Shuffles carry 64-bit class keys and ids first, and texts of rows in classes with several members never:
-they are hashed (128 bits) before the shuffle. Classes are counted with partial aggregation, and class
-values return through `lookup_join`, so that a class with a third of all rows is never gathered in a task.
+1. cheap invariants, which equal records are bound to share: the plain key columns, the number of letters and
+   digits of each text, and the size and total of the bag;
+2. the histogram of the letters and digits of each text;
+3. the key itself: words in order, plain columns and the sorted bag, as 128 bits.
+
+Rows that are alone in their class are done, so their keys never cross a shuffle. Texts are folded and hashed by
+built-in functions where their characters allow it and don't leave their scan. Classes are counted with
+partial aggregation, and class values return through `lookup_join`, so that a class with a third of all rows
+is never gathered in a task.
 
 Defined cases: null texts are read as '', null plain keys equal each other only, a null bag is an empty
 one, and a row with a null id is skipped; rows that repeat one id with equal content count once; texts of
@@ -16,49 +20,49 @@ any length are read whole; empty tables give empty ones; other columns aren't re
 
 from __future__ import annotations
 
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import WORD, fold, words_joined
+from ..functions.text import words_joined
 from ..operators.skew import lookup_join
+from ..session import cut
+
+#: Letters and digits whose counts make up the histogram; all others share one count.
+COUNTED = "etanrisldogkm0123"
 
 
-@F.pandas_udf(T.LongType())
-def letter_invariant(s: pd.Series) -> pd.Series:
-    """A 64-bit digest of how often each letter and digit occurs in the folded text, which holds their number too."""
+def histogram(letters: Column) -> Column:
+    """How often each of COUNTED occurs in a text of letters and digits, as an array of counts."""
+    n = F.length(letters)
+    return F.array(*[n - F.length(F.translate(letters, c, "")) for c in COUNTED])
 
-    def digest(text: str | None) -> int:
-        # Sorted letters are the histogram written out; a text without words has that of a null one.
-        return xxhash.xxh64_intdigest("".join(sorted("".join(WORD.findall(fold(text)))))) - (1 << 63)
 
-    return s.map(digest)
+def _several(rows: DataFrame, level: str) -> DataFrame:
+    """The rows whose class at `level` has more than one id."""
+    sizes = rows.groupBy(level).agg(F.count("*").alias("_n"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    return lookup_join(rows, sizes.where("_lo < _hi"), level, "_n", "_lo").drop("_lo")
 
 
 def collapse(df: DataFrame, id: str, texts: list[Column], plain: list[Column], bag: Column) -> DataFrame:
     """(id, first_id, n_copies) of every row that has copies: the smallest id of its group and the group's size.
 
     `bag` is an array of structs (k string, n int) whose order doesn't matter."""
-    t = [F.col(f"_t{i}") for i in range(len(texts))]
-    p = [F.col(f"_p{i}") for i in range(len(plain))]
+    t, p = [f"_t{i}" for i in range(len(texts))], [f"_p{i}" for i in range(len(plain))]
+    bag_type = "array<struct<k:string,n:int>>"
     rows = df.select(
         F.col(id).cast("bigint").alias("_id"),
-        *[c.cast("string").alias(f"_t{i}") for i, c in enumerate(texts)],
-        *[c.cast("string").alias(f"_p{i}") for i, c in enumerate(plain)],
-        F.coalesce(F.array_sort(bag.cast("array<struct<k:string,n:int>>")), F.array().cast("array<struct<k:string,n:int>>")).alias("_bag"),
+        *[words_joined(c.cast("string")).alias(a) for a, c in zip(t, texts)],
+        *[c.cast("string").alias(a) for a, c in zip(p, plain)],
+        F.coalesce(F.array_sort(bag.cast(bag_type)), F.array().cast(bag_type)).alias("_bag"),
     ).where("_id is not null")
-
-    # Round 1: cheap invariants; classes with one id are done.
+    letters = [F.translate(x, " ", "") for x in t]
     total = F.expr("aggregate(_bag, 0L, (a, x) -> a + coalesce(x.n, 0))")
-    classed = rows.select("*", F.xxhash64(*p, *[letter_invariant(x) for x in t], F.size("_bag"), total).alias("_class"))
-    sizes = classed.groupBy("_class").agg(F.count("*").alias("_n"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
-    several = lookup_join(classed, sizes.where("_lo < _hi"), "_class", "_n", "_lo")
+    cheap = F.xxhash64(*p, *[F.length(x) for x in letters], F.size("_bag"), total)
+    key = F.md5(F.to_json(F.struct(*p, *t, "_bag")))
+    narrow = cut(rows.select("_id", cheap.alias("_cheap"), F.xxhash64(cheap, *[histogram(x) for x in letters]).alias("_letters"), key.alias("_key")))
 
-    # Round 2: the costly key, inside classes with several members.
-    whole = F.struct(*[x.alias(f"p{i}") for i, x in enumerate(p)], *[words_joined(x).alias(f"t{i}") for i, x in enumerate(t)], F.col("_bag").alias("b"))
-    keyed = several.select("_id", F.md5(F.to_json(whole)).alias("_key")).distinct()
+    several = _several(_several(narrow, "_cheap"), "_letters")
+    keyed = cut(several.select("_id", "_key").distinct())
     groups = keyed.groupBy("_key").agg(F.count("*").alias("n_copies"), F.min("_id").alias("_lo"))
     groups = groups.where("n_copies > 1").select("_key", "n_copies", F.struct(F.col("_lo").alias("first_id"), "n_copies").alias("_g"))
     return lookup_join(keyed, groups, "_key", "n_copies", "_g").select(F.col("_id").alias(id), "_g.first_id", "_g.n_copies")

@@ -43,14 +43,50 @@ def test_held_out_accuracy_and_wrong_labels(spark):
     assert subjects.assign(d, lab.limit(0), areas).count() == 0
 
 
+def sentences(text):
+    numbers = subjects.Numbers()
+    laid = subjects.lay([text], numbers)
+    return [[numbers.words[k] for k in part] for part in np.split(laid.word, laid.start[1:])] if len(laid.start) else []
+
+
 def test_sentences_and_features():
-    assert subjects.sentences("A b 12. <p>C d!</p> e\nf. ») G") == [["a", "b"], ["c", "d"], ["e", "f"], ["g"]]
-    assert subjects.sentences(None) == [] and len(subjects.features("ab")) == 1 and len(subjects.features("fishery")) > 10
+    assert sentences("A b 12. <p>C d!</p> e\nf. ») G") == [["a", "b"], ["c", "d"], ["e", "f"], ["g"]]
+    assert sentences(None) == [] and sentences(" 12. ") == []
+    assert len(subjects.features("ab")) == 1 and len(subjects.features("fishery")) > 10
+
+
+def test_texts_of_a_batch_keep_apart():
+    laid = subjects.lay(["a b", None, "", "c. d", "7"], subjects.Numbers())
+    assert laid.word.tolist() == [2, 3, 4, 5] and laid.start.tolist() == [0, 2, 3] and laid.text.tolist() == [0, 3, 3]
 
 
-def test_training_is_repeatable():
+def test_gradient_equals_differences():
     rng = np.random.default_rng(0)
-    flats = [rng.integers(0, subjects.BUCKETS, 12) for _ in range(40)]
-    labels, doc = rng.integers(0, 2, (40, 2)), np.repeat(np.arange(8), 5)
-    a, b = (subjects.train_shard(subjects.Model.fresh(2), flats, labels, doc, True, 3, 7) for _ in range(2))
-    assert np.array_equal(a.emb, b.emb) and np.array_equal(a.out, b.out)
+    c = subjects.Chunk.unpack(subjects.Chunk.of(["herring cod. law court", "ice and frost"], [[0], [1, 2]], 3).pack())
+    w = [rng.normal(0, 0.5, (subjects.BUCKETS, subjects.SIZE)), rng.normal(0, 0.5, (subjects.SIZE, 3)), rng.normal(0, 1, 3)]
+
+    def loss():
+        of_word = np.add.reduceat(w[0][c.buckets], c.first, axis=0)
+        n = np.add.reduceat(c.n_features[c.word], c.start)
+        z = np.add.reduceat(of_word[c.word], c.start, axis=0) / n[:, None] @ w[1] + w[2]
+        return float((np.logaddexp(0, z) - z * c.labels[c.doc]).sum())
+
+    n, touched, emb, out, off = c.gradient(*w, False, 3)
+    assert n == 3 and set(touched) == set(c.buckets.tolist())
+    for value, at, slope in [(w[0], (touched[5], 3), emb[5, 3]), (w[1], (2, 1), out[2, 1]), (w[2], 0, off[0])]:
+        was = value[at]
+        value[at] = was + 1e-4
+        up = loss()
+        value[at] = was - 1e-4
+        assert abs((up - loss()) / 2e-4 - slope) < 1e-3
+        value[at] = was
+
+
+def test_more_subjects_than_bits_of_a_number(spark):
+    names = [f"s{i:03d}" for i in range(70)]
+    docs = [(i, f"Word{names[i % 70]}q here. Word{names[i % 70]}q there. Word{names[i % 70]}q again. Nothing else stands here.") for i in range(700)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, names[i % 70]) for i in range(560)], "doc_id bigint, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.assign(d, lab, spark.createDataFrame([(s,) for s in names], "subject string")).collect() if r.doc_id >= 560}
+    want = {(i, names[i % 70]) for i in range(560, 700)}
+    assert {s for _, s in got & want} >= set(names[62:]) and len(got & want) > 0.9 * len(want)

@@ -11,6 +11,10 @@ from ..session import table
 from . import bpe, consensus, cosine, pii, refine, splits, subjects, suffixes
 
 
+#: Key of the surrogates in the queries.
+KEY = "demonstration key"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Val and test members that share a company, a text or nearly a text with the train part."""
     return cosine.overlaps(table(spark, sf_dir, "dedup_member"))
@@ -61,13 +65,13 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of personal data."""
-    return pii.mentions(table(spark, sf_dir, "no_record")).select("record_id", "field_name", "kind", "start_pos", "end_pos")
+    """Mentions of personal data, each with its surrogate settled."""
+    return pii.mentions(table(spark, sf_dir, "no_record"), KEY).where("surrogate is not null").select("record_id", "field_name", "kind", "start_pos", "end_pos")
 
 
 def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with every mention replaced by a placeholder."""
-    return pii.masked(table(spark, sf_dir, "no_record"), key="demonstration key")
+    return pii.masked(table(spark, sf_dir, "no_record"), KEY)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

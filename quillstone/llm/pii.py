@@ -33,7 +33,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -127,19 +127,19 @@ class Classes(dict):
     def __missing__(self, token: str) -> tuple[str, int]:
         if len(self) > self.most:
             self.clear()
-        self[token] = out = self.of(token, self.given, self.family)
+        self[token] = out = self.of(token, (), ())
         return out
 
-    @staticmethod
-    def of(token: str, given: set[str], family: set[str]) -> tuple[str, int]:
+    def of(self, token: str, given: Collection[str], family: Collection[str]) -> tuple[str, int]:
+        """The class with further names."""
         if len(token) == 1:
             return "I", 0
         k = name_key(token)
         for cut_ in (0, 1) if k.endswith("s") and len(k) > 3 else (0,):
             base = k[: len(k) - cut_]
-            if base in family:
+            if base in self.family or base in family:
                 return "F", cut_
-            if base in given:
+            if base in self.given or base in given:
                 return "G", cut_
         return "", 0
 
@@ -162,8 +162,7 @@ class Reader:
     def names(self, text: str, taken: list[tuple[int, int]], given: set[str], family: set[str]) -> list[tuple[int, int]]:
         classes = self.classes
         if given or family:
-            own_given, own_family = self.given | given, self.family | family
-            classes = {t: Classes.of(t, own_given, own_family) for t in set(_TOKEN.findall(text))}
+            classes = {t: self.classes.of(t, given, family) for t in set(_TOKEN.findall(text))}
         elif not any(classes[t][0] in ("G", "F") for t in _TOKEN.findall(text)):
             return []
         tokens = []
@@ -306,10 +305,10 @@ class Reader:
             take("name", a, b)
         return sorted(found, key=lambda x: (x[1], x[2]))
 
-    def entity(self, mention: str, persons: list[tuple[tuple[str, ...], str]]) -> str:
+    def entity(self, mention: str, persons: list[tuple[tuple[str, ...], str]], more: Collection[str] = ()) -> str:
         """Canonical person of a name: given names, then family name; a partial name takes the only full one that fits."""
         keys = [name_key(t) for t in _TOKEN.findall(mention)]
-        family = [k for k in keys if k in self.family or any(k == f for _, f in persons)]
+        family = [k for k in keys if k in self.family or k in more or any(k == f for _, f in persons)]
         given = [k for k in keys if k not in family]
         fits = [
             (g, f)
@@ -379,16 +378,17 @@ def mentions(records: DataFrame, key: str = "", most_names: int | None = None) -
             rows = []
             for record, persons, first, second, more in zip(*(c.to_pylist() for c in b.columns)):
                 more = [(m["name"], m["kind"]) for m in more or ()]
+                families = {n for n, k in more if k == "F"}
                 found = [(field, text, m) for field, text in zip(FIELDS, (first, second)) if text for m in reader.read(text, persons, more)]
                 if not found:
                     continue
                 known = []
                 if any(m[0] == "name" for _, _, m in found):
                     known = {(tuple(g), f[0]) for g, f in map(parts_of, persons or ()) if f and g}
-                    known = sorted(known | {(tuple(k[:-1]), k[-1]) for _, t, (kind, a, e) in found if kind == "name" for k in [_full(t[a:e], reader)] if k})
+                    known = sorted(known | {(tuple(k[:-1]), k[-1]) for _, t, (kind, a, e) in found if kind == "name" for k in [_full(t[a:e], reader, families)] if k})
                 for field, text, (kind, a, e) in found:
                     said = text[a:e]
-                    who = (kind, reader.entity(said, known) if kind == "name" else _plain(kind, said))
+                    who = (kind, reader.entity(said, known, families) if kind == "name" else _plain(kind, said))
                     if who not in drawn:
                         if len(drawn) > 200_000:
                             drawn.clear()
@@ -401,11 +401,11 @@ def mentions(records: DataFrame, key: str = "", most_names: int | None = None) -
     return settled(cut(slim.mapInArrow(scan, _ROW_SCHEMA).distinct()), key)
 
 
-def _full(mention: str, reader: Reader) -> list[str]:
+def _full(mention: str, reader: Reader, more: Collection[str]) -> list[str]:
     """Parts of a mention that is a full name, given names first; else empty."""
     keys = [name_key(t) for t in _TOKEN.findall(mention)]
-    family = [k for k in keys if k in reader.family]
-    given = [k for k in keys if k not in reader.family and len(k) > 1]
+    family = [k for k in keys if k in reader.family or k in more]
+    given = [k for k in keys if k not in family and len(k) > 1]
     return [*given, family[0]] if len(family) == 1 and given and len(given) + 1 == len(keys) else []
 
 

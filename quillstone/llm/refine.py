@@ -28,7 +28,7 @@ from ..operators.skew import lookup_join
 from ..session import cut
 
 #: Letters and digits whose counts make up the histogram; all others share one count.
-COUNTED = "etanrisldogkm0123"
+COUNTED = "etanrs"
 
 
 def histogram(letters: Column) -> Column:
@@ -55,11 +55,12 @@ def collapse(df: DataFrame, id: str, texts: list[Column], plain: list[Column], b
         *[c.cast("string").alias(a) for a, c in zip(p, plain)],
         F.coalesce(F.array_sort(bag.cast(bag_type)), F.array().cast(bag_type)).alias("_bag"),
     ).where("_id is not null")
-    letters = [F.translate(x, " ", "") for x in t]
+    letters = [f"_l{i}" for i in range(len(texts))]
+    rows = rows.select("*", *[F.translate(x, " ", "").alias(a) for x, a in zip(t, letters)])
     total = F.expr("aggregate(_bag, 0L, (a, x) -> a + coalesce(x.n, 0))")
     cheap = F.xxhash64(*p, *[F.length(x) for x in letters], F.size("_bag"), total)
     key = F.md5(F.to_json(F.struct(*p, *t, "_bag")))
-    narrow = cut(rows.select("_id", cheap.alias("_cheap"), F.xxhash64(cheap, *[histogram(x) for x in letters]).alias("_letters"), key.alias("_key")))
+    narrow = cut(rows.select("_id", cheap.alias("_cheap"), F.xxhash64(cheap, *[histogram(F.col(x)) for x in letters]).alias("_letters"), key.alias("_key")))
 
     several = _several(_several(narrow, "_cheap"), "_letters")
     keyed = cut(several.select("_id", "_key").distinct())

@@ -37,3 +37,21 @@ def test_null_empty_and_repeated_rows(spark):
     exact = reference()
     assert got == [(1, []), (2, []), (3, exact.encode_ordinary("Hei på deg")), (3, exact.encode_ordinary("Hei på deg")), (4, exact.encode_ordinary(" "))]
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_plain_pattern_cuts_like_the_full_one():
+    import regex
+
+    rng, full = random.Random(1), regex.compile(bpe.PIECES)
+    chars = [c for c in map(chr, [*range(9, 14), *range(28, 127), *range(0xA0, 0x250), *range(0x2010, 0x205F)]) if not bpe._NOT_PLAIN.search(c)]
+    for _ in range(5000):
+        t = "".join(rng.choice(chars) for _ in range(rng.randint(1, 12)))
+        assert full.findall(t) == bpe._PLAIN_PIECES.findall(t)
+
+
+def test_very_long_pieces():
+    rng, codec = random.Random(2), bpe.Codec.load(PATH)
+    long = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    flat, at = codec.encode_batch([long, "ab" * 500_000])
+    assert flat[: at[1]].tolist() == reference().encode_ordinary(long)
+    assert b"".join(codec.bytes_of[i] for i in flat[at[1] :].tolist()) == b"ab" * 500_000

@@ -56,6 +56,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("member_id <> root_id and split is not null").select("root_id", "member_id")
 
 
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every member (rows only: any split within the bounds of p5_whole will do)."""
+    return splits.split_members(table(spark, sf_dir, "dedup_member"), table(spark, sf_dir, "item")).select("member_id", "root_id", "split")
+
+
+def p5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and components summed over the splits (a component in two splits would count twice), and whether the size of every
+    split is within a hundredth of its share, and the largest component, of all members."""
+    found = splits.split_members(table(spark, sf_dir, "dedup_member"), table(spark, sf_dir, "item"))
+    sizes = found.groupBy("root_id", "split").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.max("n").alias("largest"))
+    want = F.coalesce(*[F.when(F.col("split") == s, F.lit(p)) for s, p in splits.SHARES])
+    whole = sizes.agg(F.sum("n").alias("n_members"), F.sum("c").alias("n_components"), F.max("largest").alias("largest"), F.sort_array(F.collect_list(F.struct("n", want.alias("want")))).alias("all"))
+    near = F.forall("all", lambda x: F.abs(x.getField("n") - x.getField("want") * F.col("n_members")) <= 0.01 * F.col("n_members") + F.col("largest"))
+    return whole.select("n_members", "n_components", near.alias("within"))
+
+
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the splits and of the labels in them."""
     members = table(spark, sf_dir, "dedup_member")
@@ -163,7 +179,6 @@ WITH RECURSIVE k AS (
   UNION SELECT member_id, 'g|' || grp FROM item JOIN dedup_member USING (rid)),
 t AS (SELECT DISTINCT a.m AS a, b.m AS b FROM k a JOIN k b USING (k)),
 r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
-SELECT min(b) AS root_id, a AS member_id FROM r GROUP BY a HAVING min(b) < a
 """
 _P8_WINDOWS = """
   SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS k
@@ -182,7 +197,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
-        "p5_found": _P5,
+        "p5_found": _P5 + "SELECT min(b) AS root_id, a AS member_id FROM r GROUP BY a HAVING min(b) < a",
+        "p5_whole": _P5 + "SELECT (SELECT count(*) FROM dedup_member) AS n_members, (SELECT count(*) FROM dedup_member) - count(*) AS n_components, true AS within FROM (SELECT a FROM r GROUP BY a HAVING min(b) < a)",
         "p8_found": _P8,
         "p2_found": _P2_GROUPS + "SELECT first_id, member_id AS copy_id FROM g WHERE member_id <> first_id",
         "p2_groups": _P2_GROUPS + "SELECT DISTINCT first_id, n_copies FROM g WHERE n_copies > 1",

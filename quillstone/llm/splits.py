@@ -1,13 +1,15 @@
 """Train, validation and test splits that keep related members together: component swap search.
 
 Components of members tied by a register number, a cluster or a group of items are assigned as wholes.
-The search starts from an assignment by hash, then chains of simulated annealing move single components and
-exchange pairs, to bring the sizes of the splits and the counts of every label in them nearer to
-their shares; the best of the chains is kept. Chains run in parallel on chunks of components: first the
-HEAD largest ones, against the shares of the whole; then all others, in chunks of bounded size picked
-by hash, each against its part of what the head left over.
+Components with the same measures (size and labels) are interchangeable, so the search runs on kinds of
+components with their numbers: it starts from the numbers that an assignment by hash gives, then chains of
+simulated annealing move whole components of a kind from one split to another, or exchange some of one kind for some
+of another, to bring the sizes of the splits and the counts of every label in them nearer to their shares; the
+best of the chains is kept. Every step weighs PROPOSALS proposals at once, and there are as many steps a kind at
+every size. Chains run in parallel, each over at most KINDS kinds (more are spread by hash over chunks, each
+against its own shares). The components of a kind are then given out in the order of a hash, by ranks within
+buckets, so that neither a kind nor a split is ever gathered in a task.
 
-Rows of components, not of members, are searched; what reaches the driver is one row of totals.
 Null keys tie nothing; a member without any tie is a component of its own; empty tables give empty ones.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import register_number
@@ -26,10 +28,12 @@ from ..operators.skew import lookup_join
 from ..session import cut
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-HEAD = 2_000
-CHUNK = 20_000
+KINDS = 50_000
 CHAINS = 3
 SEED = 13
+PROPOSALS = 64
+#: Components of a kind in one bucket of the ranking, on average.
+BUCKET = 4_096
 
 
 def member_ties(members: DataFrame, items: DataFrame) -> DataFrame:
@@ -38,96 +42,91 @@ def member_ties(members: DataFrame, items: DataFrame) -> DataFrame:
     company = F.concat(F.lit("r|"), "jurisdiction", F.lit("|"), register_number(F.col("jurisdiction"), F.col("entity_id")))
     cluster = F.when(F.col("cluster") != "", F.concat(F.lit("c|"), "cluster"))
     own = members.select(id_, F.explode(F.array(company, cluster)).alias("key")).where("key is not null")
-    groups = items.select("rid", "grp").where("rid is not null and grp is not null").distinct()
-    by_item = members.select(id_, "rid").where("rid is not null").join(groups, "rid")
-    return own.unionAll(by_item.select("member_id", F.concat(F.lit("g|"), "grp").alias("key")))
-
-
-def anneal(size: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
-    """Cost and assignment after annealing. size: component x measure (the first is the number of members);
-    target: split x measure. The cost is the squared relative deviation, summed over splits and measures."""
+    groups = cut(items.select("rid", "grp").where("rid is not null and grp is not null").distinct())
+    sizes = groups.groupBy("rid").agg(F.count("*").alias("n"))
+    named = members.select(id_, "rid").where("rid is not null and member_id is not null").distinct()
+    firsts = cut(named.groupBy("rid").agg(F.min("member_id").alias("first"), F.count("*").alias("k")).join(sizes, "rid"))
+    by_item = lookup_join(groups, firsts, "rid", "n", "first").select(F.col("first").alias("member_id"), F.concat(F.lit("g|"), "grp").alias("key"))
+    same = named.join(firsts.where("k > 1").select("rid"), "rid").select("member_id", F.concat(F.lit("i|"), "rid").alias("key"))
+    return own.unionAll(by_item).unionAll(same)
+
+
+def anneal(size: np.ndarray, counts: np.ndarray, target: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+    """Cost and counts after annealing. size: kind x measure (the first is the number of members); counts: kind x split,
+    the numbers of components; target: split x measure. The cost is the squared relative deviation, summed over splits and
+    measures. Each step draws PROPOSALS moves and exchanges of whole components and takes the best, or with some heat a worse one."""
     rng = np.random.default_rng(seed)
-    n, splits = len(size), len(target)
-    at = start.copy()
-    scale = 1.0 / np.maximum(target.sum(axis=0), 1.0)
-    over = np.stack([size[at == s].sum(axis=0) for s in range(splits)]) - target
-    cost = float(((over * scale) ** 2).sum())
-    best, kept = cost, at.copy()
-    heat0 = max(cost, 1e-9) / 10
-    picks, others = rng.integers(0, n, steps), rng.integers(0, n, steps)
-    to, luck, swap = rng.integers(0, splits, steps), rng.random(steps), rng.random(steps) < 0.5
+    n, splits = counts.shape
+    weight = 1.0 / np.maximum(target.sum(axis=0), 1.0) ** 2
+    now = counts.astype(np.int64).copy()
+    over = now.T @ size - target
+    cost = float((over**2 * weight).sum())
+    best, kept = cost, now.copy()
+    heat0 = max(cost, 1e-12) / 20
+    own = (size**2 * weight).sum(axis=1)
     for k in range(steps):
-        i, j = picks[k], others[k]
-        a, b = at[i], at[j] if swap[k] else to[k]
-        if a == b:
+        i, j = rng.integers(0, n, (2, PROPOSALS))
+        a = rng.integers(0, splits, PROPOSALS)
+        b = (a + rng.integers(1, splits, PROPOSALS)) % splits
+        swap = rng.random(PROPOSALS) < 0.5
+        # As many of a kind as would be best by themselves, or one; in exchange for one of the other kind.
+        pull = ((over[a] - over[b]) * weight * size[i]).sum(axis=1) / np.maximum(2 * own[i], 1e-300)
+        many = np.where(rng.random(PROPOSALS) < 0.7, np.maximum(np.floor(pull), 1), 1).astype(np.int64)
+        many = np.minimum(many, now[i, a])
+        one = (swap & (now[j, b] > 0) & (i != j)).astype(np.int64)
+        gain = many[:, None] * size[i] - one[:, None] * size[j]
+        change = (2 * weight * gain * (gain + over[b] - over[a])).sum(axis=1)
+        change[many == 0] = np.inf
+        heat = heat0 * (1 - k / steps) ** 3 + 1e-18
+        with np.errstate(invalid="ignore"):
+            at = int(np.argmin(change + heat * rng.gumbel(size=PROPOSALS)))
+        if not np.isfinite(change[at]) or (change[at] > 0 and rng.random() >= np.exp(-change[at] / heat)):
             continue
-        gain = size[i] - size[j] if swap[k] else size[i]
-        old = ((over[a] * scale) ** 2).sum() + ((over[b] * scale) ** 2).sum()
-        left, right = over[a] - gain, over[b] + gain
-        change = ((left * scale) ** 2).sum() + ((right * scale) ** 2).sum() - old
-        heat = heat0 * (1 - k / steps) ** 3 + 1e-15
-        if change <= 0 or luck[k] < np.exp(-change / heat):
-            over[a], over[b] = left, right
-            at[i] = b
-            if swap[k]:
-                at[j] = a
-            cost += change
-            if cost < best - 1e-12:
-                best, kept = cost, at.copy()
+        i, j, a, b = i[at], j[at], a[at], b[at]
+        now[i, a] -= many[at]
+        now[i, b] += many[at]
+        now[j, b] -= one[at]
+        now[j, a] += one[at]
+        over[a] -= gain[at]
+        over[b] += gain[at]
+        cost += float(change[at])
+        if cost < best - 1e-15:
+            best, kept = cost, now.copy()
     return best, kept
 
 
-def _hashed(ids: np.ndarray, shares: np.ndarray, seed: int) -> np.ndarray:
-    """Start: a split for each id by a hash of it, with the shares."""
-    x = (ids.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.minimum(np.searchsorted(np.cumsum(shares), u, "right"), len(shares) - 1)
-
-
-def _searched(components: DataFrame, measures: Sequence[str], shares: Sequence[tuple[str, float]], wanted: np.ndarray, total: np.ndarray, steps_per: int) -> DataFrame:
-    """(root_id, split): every (chunk, chain) is annealed on its own and the cheapest chain of a chunk is kept.
-    `wanted` is the target of split x measure for all chunks together, whose totals are `total`."""
-    names = [s for s, _ in shares]
+def assign(components: DataFrame, measures: Sequence[str], shares: Sequence[tuple[str, float]] = SHARES, steps_per: int = 2) -> DataFrame:
+    """(root_id, split) of every component of `components` (root_id and the measures, of which the first is its size)."""
+    names, columns = [s for s, _ in shares], list(measures)
     part = np.array([p for _, p in shares], float) / sum(p for _, p in shares)
-    columns = list(measures)
-    ratio = wanted / np.maximum(total, 1.0)
+    edges = np.cumsum(part)
+    order = F.xxhash64(F.col("root_id"), F.lit(SEED))
+    luck = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    hashed = F.coalesce(*[F.when(luck < float(e), i) for i, e in enumerate(edges[:-1])], F.lit(len(names) - 1))
+    rows = components.select("root_id", *columns, order.alias("order"), hashed.alias("start"), F.xxhash64(*columns).alias("_kind"))
+    kinds = cut(rows.groupBy("_kind").agg(*[F.first(c).alias(c) for c in columns], F.count("*").alias("_n"), *[F.count_if(F.col("start") == i).alias(f"_s{i}") for i in range(len(names))]))
+    chunks = 1 + (kinds.count() - 1) // KINDS
+    ends = [f"_s{i}" for i in range(len(names))]
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("root_id")
-        size = pdf[columns].to_numpy(float)
-        ids = pdf["root_id"].to_numpy(np.int64)
-        cost, at = anneal(size, _hashed(ids, part, SEED), ratio * size.sum(axis=0), SEED + int(key[1]), 200 + steps_per * len(ids))
-        return pd.DataFrame({"root_id": ids, "chunk": key[0], "cost": cost, "chain": key[1], "split": [names[s] for s in at]})
-
-    chains = components.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))
-    tried = chains.groupBy("chunk", "chain").applyInPandas(chain, "root_id bigint, chunk int, cost double, chain int, split string")
-    return tried.groupBy("root_id").agg(F.min_by("split", F.struct("cost", "chain")).alias("split"))
-
-
-def assign(components: DataFrame, measures: Sequence[str], shares: Sequence[tuple[str, float]] = SHARES, steps_per: int = 10) -> DataFrame:
-    """(root_id, split) of every component of `components` (root_id and the measures, of which the first is its size)."""
-    part = np.array([p for _, p in shares], float) / sum(p for _, p in shares)
-    sums = [F.sum(m).alias(m) for m in measures]
-    head = cut(components.orderBy(F.desc(measures[0]), "root_id").limit(HEAD).withColumn("chunk", F.lit(0)))
-    total = components.agg(F.count("*").alias("n"), *sums).first()
-    whole = np.array([float(total[m] or 0) for m in measures])
-    wanted = part[:, None] * whole
-    if not total["n"]:
-        return components.select("root_id", F.lit(None).cast("string").alias("split"))
-    top = head.agg(*sums).first()
-    in_head = np.array([float(top[m] or 0) for m in measures])
-    # The head may take up any part of the whole: its target is its share of every split.
-    first = cut(_searched(head, measures, shares, part[:, None] * in_head, in_head, steps_per))
-    if total["n"] <= HEAD:
-        return first
-    done = {r["split"]: r for r in head.join(first, "root_id").groupBy("split").agg(*sums).collect()}
-    have = np.array([[float(done[s][m] or 0) if s in done else 0.0 for m in measures] for s, _ in shares])
-    left = np.maximum(wanted - have, 0.0)
-    chunks = 1 + int(total["n"] - HEAD) // CHUNK
-    tail = components.join(head.select("root_id"), "root_id", "left_anti").withColumn("chunk", F.pmod(F.xxhash64("root_id"), F.lit(chunks)).cast("int"))
-    return first.unionAll(_searched(tail, measures, shares, left, whole - in_head, steps_per))
+        pdf = pdf.sort_values("_kind")
+        size, counts = pdf[columns].to_numpy(float), pdf[ends].to_numpy(np.int64)
+        target = part[:, None] * (counts.sum(axis=1) @ size)
+        cost, now = anneal(size, counts, target, SEED + int(key[1]), 300 + steps_per * len(size))
+        return pd.DataFrame({"_kind": pdf["_kind"], "_n": pdf["_n"], "cost": cost, "chain": key[1], "ends": list(np.cumsum(now, axis=1))})
+
+    chains = kinds.withColumn("chunk", F.pmod("_kind", F.lit(max(chunks, 1))).cast("int")).withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))
+    tried = chains.groupBy("chunk", "chain").applyInPandas(chain, "_kind bigint, _n bigint, cost double, chain int, ends array<bigint>")
+    given = cut(tried.groupBy("_kind", "_n").agg(F.min_by("ends", F.struct("cost", "chain")).alias("ends")).select("_kind", "_n", F.struct(F.col("_n").alias("n"), "ends").alias("g")))
+
+    # Ranks of the components of a kind: within buckets, which follow one another.
+    sought = lookup_join(rows.select("root_id", "order", "_kind"), given, "_kind", "_n", "g").withColumn("bucket", F.pmod("order", 1 + (F.col("g.n") / BUCKET).cast("bigint")))
+    sought = cut(sought)
+    before = Window.partitionBy("_kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = sought.groupBy("_kind", "bucket").agg(F.count("*").alias("k")).select("_kind", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    ranked = sought.join(first, ["_kind", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("_kind", "bucket").orderBy("order", "root_id")) - 1)
+    split = F.coalesce(*[F.when(F.col("rank") < F.get("g.ends", F.lit(i)), s) for i, s in enumerate(names[:-1])], F.lit(names[-1]))
+    return ranked.select("root_id", split.alias("split"))
 
 
 def split_members(members: DataFrame, items: DataFrame, shares: Sequence[tuple[str, float]] = SHARES, labels: dict[str, Column] | None = None) -> DataFrame:

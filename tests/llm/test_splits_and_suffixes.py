@@ -77,3 +77,13 @@ def test_longest_match_and_place(spark):
     d = spark.createDataFrame([(1, doc, "x"), (2, "to " + item.replace("seks", "6"), "x")], "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame([(9, item)], "item_id bigint, text string")
     assert [tuple(r) for r in suffixes.leaks(d, i).collect()] == [(1, 9, 13, 1, 0)]
+
+
+def test_memory_and_time_of_a_long_held_out_text():
+    rng = np.random.default_rng(1)
+    long = [f"w{i}" for i in rng.integers(0, 50, 50_000)]
+    held = suffixes.HeldOut([(1, " ".join(long)), (2, "x " * 20_000)], 12)
+    docs = [(10, ["other", *long[5_000:45_000], "other"]), (11, long[:11]), (12, ["x"] * 500), (13, long[100:112] + ["other"] + long[90:120])]
+    got = {(a, b): (n, d, i) for a, b, n, d, i in suffixes.search_shard(docs, held).tolist()}
+    assert got == {(10, 1): (40_000, 1, 5_000), (12, 2): (500, 0, 0), (13, 1): (30, 13, 90)}
+    assert held.flat.nbytes + held.start.nbytes + held.hash.nbytes < 3_000_000

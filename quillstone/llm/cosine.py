@@ -1,29 +1,36 @@
 """Overlaps between splits: shared entities, equal texts, near-equal texts.
 
-Near-equal texts come from a weighted cosine join of inverted lists. A text is the set of its characters'
-trigrams. A(a), B(b) with |A ∩ B| >= 0.8 |A ∪ B| differ in at most (a + b) / 9 trigrams.
+Near-equal texts come from a weighted cosine join of inverted lists. A text is the vector of its characters'
+trigrams, each weighing by its rarity (the logarithm of its document frequency). A(a), B(b) with
+|A ∩ B| >= t |A ∪ B| differ in at most (a + b) (1 - t) / (1 + t) trigrams; t is a parameter, 0.8 or more.
 
 Terms. Trigrams alone are too common to be selective: their number doesn't grow with the corpus. So the
 trigrams of a text are spread over k blocks by their hash, k a third of the size class of the text, and
 what a block holds is a term: (class, block, its trigrams). A differing trigram changes one term, so
-that similar texts differ in d <= n / 4 terms, n being the number of trigrams. A term weighs by its rarity,
-the sum of the logarithms of the document frequencies of its trigrams; all have equal norm.
+that similar texts differ in d <= n (1 - t) / t terms, n being the number of trigrams. A term weighs as much as its
+trigrams together.
 
-Residual-norm pruning. Each text lists only its d + 1 rarest terms: if it has more than d terms, the
-first common term of two similar texts, by rarity, is among these on both sides, as the residual, the
+Residual-norm pruning. Each text lists only its d + 1 heaviest terms: if it has more than d terms, the
+first common term of two similar texts, by weight, is among these on both sides, as the residual, the
 terms not listed, can't make up the similarity alone. A text with too few terms for that lists its d + 1
-rarest plain trigrams as well.
+heaviest plain trigrams as well.
 
-Maximum-weight pruning. Sizes of similar texts differ by at most a quarter, so a text looks only into
-the lists of its own and the neighbouring size classes; and each entry of a list carries the parity of its
+Maximum-weight pruning. A text looks only into the lists of its own and the neighbouring size classes, as sizes of
+similar texts differ by a factor of 1 / t at most; and each entry of a list carries the parity of its
 trigrams in 256 bits, whose distance bounds the difference of two texts from below, so that hardly any
 pair leaves the join that isn't similar.
 
-What is left gets its exact dot product |A ∩ B|.
+What is left gets its exact products: the weighted dot product and cosine, and the number of common trigrams,
+which decides against t.
 
-Texts are reduced to distinct ones before the join, and results return to the members through joins that
-split hot keys. Nothing is gathered on the driver but the document frequencies of at most MOST_TERMS
-trigrams, which only order terms (others count as rarest, so that no pair depends on it).
+Hot lists. A term that more than LIST texts of the base have is a list in parts. Every text looks into the first
+part; only those that found nothing similar there go through the others, in as many tasks as there are parts. For a
+text that only has to find one similar one (`nearest`), the candidate of least distance is tested first, and the others
+only if it fails. So a third of all texts being near-copies of each other costs one test a text, and nothing is lost.
+
+Texts are reduced to distinct ones before the join, and results return to the members, by a hash of 128 bits, through
+joins that split hot keys. Nothing is gathered on the driver but the document frequencies of at most MOST_TERMS
+trigrams, which only order terms and weigh (others count as rarest, so that no pair depends on it).
 
 Defined cases: null texts are read as ''; members without text have no exact or near overlap; a null or
 digitless entity_id is no entity; repeated rows of one member give one row; empty tables give empty ones.
@@ -34,17 +41,19 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import register_number, words_joined
 from ..operators.skew import lookup_join
 from ..session import cut
 
 MOST_TERMS = 1 << 20
+#: Least overlap, as a fraction.
+LEAST = (4, 5)
+#: Entries of one part of an inverted list, on average.
+LIST = 1_000
 #: Similar sizes differ by at most 1 / 0.8; classes grow a little faster, so that similar texts are in neighbouring ones.
 GROWTH = 1.26
 _BOUNDS = np.unique(np.floor(GROWTH ** np.arange(0, 110)))
@@ -73,7 +82,8 @@ def _parity(mixed: np.ndarray) -> np.ndarray:
 class Lister:
     """Lists terms of texts, the rarest first."""
 
-    def __init__(self, terms: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, least: tuple[int, int] = LEAST) -> None:
+        self.least = least
         order = np.argsort(terms)
         self.terms, self.rarity = terms[order], np.log(np.maximum(counts[order], 1).astype(np.float64)) - np.log(float(counts.max(initial=1)) + 1)
         self.rarest = -np.log(float(counts.max(initial=1)) + 1)
@@ -88,7 +98,7 @@ class Lister:
     def list(self, grams: np.ndarray, mixed: np.ndarray, classes: Iterable[int]) -> list[np.ndarray]:
         """Keys under which the text is listed, for each of the size classes."""
         n = len(grams)
-        d = n // 4
+        d = n * (self.least[1] - self.least[0]) // self.least[0]
         w = self.weights(grams)
         out = []
         thin = False
@@ -131,11 +141,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["gram"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
 
 
-def listed(texts: DataFrame, frequencies: object, around: bool) -> DataFrame:
+def listed(texts: DataFrame, frequencies: object, around: bool, least: tuple[int, int]) -> DataFrame:
     """Entries (key, id, n, b0..b3) of the inverted lists; `around`: also under the neighbouring size classes."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lister = Lister(*frequencies.value)
+        lister = Lister(*frequencies.value, least)
         for batch in batches:
             keys, ids, ns, parities = [], [], [], []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -155,30 +165,95 @@ def listed(texts: DataFrame, frequencies: object, around: bool) -> DataFrame:
     return texts.select("id", "text").mapInArrow(scan, "key bigint, id bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
-@F.pandas_udf(T.LongType())
-def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of trigrams that two texts share."""
-    return pd.Series([len(np.intersect1d(trigrams(x), trigrams(y), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+def _checked(least: tuple[int, int]) -> tuple[int, int]:
+    if not least[1] <= GROWTH * least[0]:
+        raise ValueError("size classes hold for an overlap of 0.8 or more")
+    return least
 
 
-@F.pandas_udf(T.LongType())
-def n_trigrams(a: pd.Series) -> pd.Series:
-    return pd.Series([len(trigrams(x)) for x in a], dtype="int64")
+def _lists(queries: DataFrame, base: DataFrame, frequencies: object, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of both sides, those of the base with their part, and the hot keys (key, parts)."""
+    q, b = listed(queries, frequencies, True, least), cut(listed(base, frequencies, False, least))
+    hot = cut(b.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("key", "n", (1 + F.col("n") / LIST).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return q, b.withColumn("part", F.lit(0)), hot
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")
+    return q, lookup_join(b, hot, "key", "n", "parts", how="left").withColumn("part", part).drop("parts"), hot
 
 
-def near(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """(id, base_id, similarity) of all texts of `queries` and of `base` (both: id bigint, text string, texts
-    distinct, id a 64-bit hash) whose trigrams are at least 0.8 in common."""
-    spark = queries.sparkSession
-    frequencies = spark.sparkContext.broadcast(document_frequencies(queries.select("text").unionAll(base.select("text"))))
-    q, b = listed(queries, frequencies, True).alias("q"), listed(base, frequencies, False).alias("b")
+def _pairs(q: DataFrame, b: DataFrame, on: list[str], least: tuple[int, int]) -> DataFrame:
+    """(id, base_id, apart) of entries of the same list that the bounds on size and distance let through."""
+    q, b = q.alias("q"), b.alias("b")
     apart = sum((F.bit_count(F.col(f"q.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(1, 4)), F.bit_count(F.col("q.b0").bitwiseXOR(F.col("b.b0"))))
     n, m = F.col("q.n").cast("bigint"), F.col("b.n").cast("bigint")
-    close = (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
-    pairs = q.join(b, (F.col("q.key") == F.col("b.key")) & close).select(F.col("q.id").alias("id"), F.col("b.id").alias("base_id")).distinct()
-    whole = pairs.join(queries.select("id", F.col("text").alias("_a")), "id").join(base.select(F.col("id").alias("base_id"), F.col("text").alias("_b")), "base_id")
-    scored = whole.select("id", "base_id", dot("_a", "_b").alias("dot"), n_trigrams("_a").alias("na"), n_trigrams("_b").alias("nb"))
-    return scored.where("5 * dot >= 4 * (na + nb - dot)").select("id", "base_id", (F.col("dot") / (F.col("na") + F.col("nb") - F.col("dot"))).alias("similarity"))
+    t, u = least
+    close = (u * F.least(n, m) >= t * F.greatest(n, m)) & ((u + t) * apart <= (u - t) * (n + m))
+    for c in on:
+        close = close & (F.col(f"q.{c}") == F.col(f"b.{c}"))
+    return q.join(b, close).select(F.col("q.id").alias("id"), F.col("b.id").alias("base_id"), apart.alias("apart")).distinct()
+
+
+def _further(q: DataFrame, b: DataFrame, hot: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs with the parts of hot lists after the first."""
+    counts = q.join(hot, "key").groupBy("key").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
+    looking = lookup_join(q, cut(counts), "key", "n", "parts").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
+    return _pairs(looking, b.where("part > 0"), ["key", "part"], least)
+
+
+def _tested(pairs: DataFrame, queries: DataFrame, base: DataFrame, frequencies: object, least: tuple[int, int]) -> DataFrame:
+    """(id, base_id, similarity, cosine) of the pairs that have at least `least` of their trigrams in common: the exact products."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lister = Lister(*frequencies.value, least)
+        for batch in batches:
+            kept, similarity, cosine = [], [], []
+            for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                a, b = trigrams(x), trigrams(y)
+                both = np.intersect1d(a, b, assume_unique=True)
+                union = len(a) + len(b) - len(both)
+                if least[1] * len(both) >= least[0] * union:
+                    square = lambda g: float((lister.weights(g) ** 2).sum())
+                    kept.append(row)
+                    similarity.append(len(both) / union)
+                    cosine.append(square(both) / max((square(a) * square(b)) ** 0.5, 1e-300))
+            ids = [batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(similarity, pa.float64()), pa.array(cosine, pa.float64())], names=["id", "base_id", "similarity", "cosine"])
+
+    whole = pairs.select("id", "base_id").join(queries.select("id", F.col("text").alias("_a")), "id").join(base.select(F.col("id").alias("base_id"), F.col("text").alias("_b")), "base_id")
+    return whole.select("id", "base_id", "_a", "_b").mapInArrow(scan, "id bigint, base_id bigint, similarity double, cosine double")
+
+
+def _frequencies(queries: DataFrame, base: DataFrame) -> object:
+    return queries.sparkSession.sparkContext.broadcast(document_frequencies(queries.select("text").unionAll(base.select("text"))))
+
+
+def near(queries: DataFrame, base: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(id, base_id, similarity, cosine) of all texts of `queries` and of `base` (both: id bigint, text string, texts
+    distinct, id a 64-bit hash) of whose trigrams at least `least` are in common."""
+    frequencies = _frequencies(queries, base)
+    q, b, hot = _lists(queries, base, frequencies, _checked(least))
+    pairs = _pairs(q, b.where("part = 0"), ["key"], least)
+    if not hot.isEmpty():
+        pairs = pairs.unionAll(_further(q, b, hot, least)).distinct()
+    return _tested(pairs, queries, base, frequencies, least)
+
+
+def nearest(queries: DataFrame, base: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(id, similarity, cosine): as `near`, but one row for each text of `queries` that has any similar one."""
+    frequencies = _frequencies(queries, base)
+    q, b, hot = _lists(queries, base, frequencies, _checked(least))
+    best = F.max(F.struct("similarity", "cosine")).alias("s")
+    one = lambda rows: cut(rows.groupBy("id").agg(best).select("id", "s.*"))
+
+    pairs = cut(_pairs(q, b.where("part = 0"), ["key"], least))
+    firsts = pairs.groupBy("id").agg(F.min(F.struct("apart", "base_id")).alias("f")).select("id", F.col("f.base_id").alias("base_id"))
+    found = one(_tested(firsts, queries, base, frequencies, least))
+    others = pairs.join(found.select("id"), "id", "left_anti").join(firsts, ["id", "base_id"], "left_anti")
+    found = found.unionAll(one(_tested(others, queries, base, frequencies, least)))
+    if hot.isEmpty():
+        return found
+    more = _further(q.join(found.select("id"), "id", "left_anti"), b, hot, least)
+    return found.unionAll(one(_tested(more, queries, base, frequencies, least)))
 
 
 def overlaps(members: DataFrame, train: str = "train") -> DataFrame:
@@ -196,14 +271,27 @@ def overlaps(members: DataFrame, train: str = "train") -> DataFrame:
     entities = m.where("has_entity").groupBy("entity").agg(*sides).where("in_train and n > 0").withColumn("hit", F.lit(True))
     by_entity = lookup_join(m.where("has_entity and not is_train").select("member_id", "entity"), entities, "entity", "n", "hit")
 
-    texts = cut(m.where("has_text").groupBy("text").agg(*sides).select(F.xxhash64("text").alias("id"), "text", "in_train", "n"))
+    texts = cut(m.where("has_text").groupBy("text").agg(*sides).select(F.md5("text").alias("h"), F.xxhash64("text").alias("id"), "text", "in_train", "n"))
     base, queries = texts.where("in_train"), texts.where("not in_train and n > 0")
-    alike = near(queries, base).select("id", F.lit("near").alias("kind")).distinct()
-    kinds = texts.where("in_train and n > 0").select("text", "n", F.lit("exact").alias("kind")).unionAll(queries.join(alike, "id").select("text", "n", "kind"))
-    by_text = lookup_join(m.where("has_text and not is_train").select("member_id", "text"), kinds, "text", "n", "kind")
+    alike = nearest(queries, base).select("id")
+    kinds = texts.where("in_train and n > 0").select("h", "n", F.lit("exact").alias("kind")).unionAll(queries.join(alike, "id").select("h", "n", F.lit("near").alias("kind")))
+    asked = cut(m.where("has_text and not is_train").select("member_id", F.md5("text").alias("h")))
+    by_text = lookup_join(asked, cut(kinds), "h", "n", "kind")
     return by_entity.select("member_id", F.lit("entity").alias("kind")).unionAll(by_text.select("member_id", "kind")).distinct()
 
 
+def near_rate(members: DataFrame, least: tuple[int, int] = (19, 20), train: str = "train", part: str = "test") -> DataFrame:
+    """(n_texts, n_near, near_dup_rate): of the distinct texts that stand only in `part`, those with a similar text in `train`."""
+    text = F.concat_ws("|", words_joined("signature_key"), words_joined("procuration_key"))
+    where = members.where("has_text and part_name is not null").select(text.alias("text"), "part_name").groupBy("text")
+    texts = where.agg(F.max(F.col("part_name") == train).alias("in_train"), F.min(F.col("part_name") == part).alias("only"))
+    texts = cut(texts.where("in_train or only").select(F.xxhash64("text").alias("id"), "text", "in_train", "only"))
+    alone = texts.where("only")
+    found = nearest(alone, texts.where("in_train"), least)
+    counts = alone.agg(F.count("*").alias("n_texts")).crossJoin(found.agg(F.count("*").alias("n_near")))  # one row each
+    return counts.select("n_texts", "n_near", F.round(F.coalesce(F.try_divide("n_near", "n_texts"), F.lit(0.0)), 6).alias("near_dup_rate"))
+
+
 def report(members: DataFrame, found: DataFrame) -> DataFrame:
     """(part_name, jurisdiction, n_members, entity_overlap, exact_text_overlap, near_dups, near_dup_rate):
     counts by split and source; the rate is over members with text that have no exact overlap."""

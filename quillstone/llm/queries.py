@@ -26,6 +26,11 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.report(members, cosine.overlaps(members))
 
 
+def p1_near_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the texts of the test part alone that have a text of the train part with 0.95 of their trigrams in common."""
+    return cosine.near_rate(table(spark, sf_dir, "dedup_member"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies that differ only in writing or order, each with the first of its group."""
     found = refine.member_copies(table(spark, sf_dir, "dedup_member"))
@@ -172,6 +177,18 @@ SELECT member_id, 'entity' AS kind FROM m WHERE NOT is_train AND e IN (SELECT e
 UNION ALL SELECT member_id, 'exact' FROM m WHERE NOT is_train AND has_text AND t IN (SELECT t FROM x WHERE is_train)
 UNION ALL SELECT member_id, 'near' FROM m WHERE NOT is_train AND has_text AND t IN (SELECT t FROM n)
 """
+_P1_RATE = f"""
+WITH m AS (
+  SELECT part_name, coalesce({_WORDS.format("signature_key")}, '') || '|' || coalesce({_WORDS.format("procuration_key")}, '') AS t
+  FROM dedup_member WHERE has_text AND part_name IS NOT NULL),
+x AS (SELECT t, bool_or(part_name = 'train') AS is_train, bool_and(part_name = 'test') AS is_test FROM m GROUP BY t),
+g AS (SELECT t, is_train, is_test, list_distinct(list_transform(range(1, length(t) + 3), lambda i: substr('  ' || t || '  ', i, 3))) AS g FROM x WHERE is_train OR is_test),
+n AS (
+  SELECT DISTINCT q.t FROM g q JOIN g b ON q.is_test AND b.is_train AND 20 * least(len(q.g), len(b.g)) >= 19 * greatest(len(q.g), len(b.g))
+  WHERE 20 * len(list_intersect(q.g, b.g)) >= 19 * (len(q.g) + len(b.g) - len(list_intersect(q.g, b.g)))),
+c AS (SELECT (SELECT count(*) FROM g WHERE is_test) AS n_texts, (SELECT count(*) FROM n) AS n_near)
+SELECT n_texts, n_near, round(coalesce(n_near / nullif(n_texts, 0), 0.0), 6) AS near_dup_rate FROM c
+"""
 _P5 = f"""
 WITH RECURSIVE k AS (
   SELECT member_id AS m, 'r|' || jurisdiction || '|' || ({_NUMBER}) AS k FROM dedup_member
@@ -197,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_near_rate": _P1_RATE,
         "p5_found": _P5 + "SELECT min(b) AS root_id, a AS member_id FROM r GROUP BY a HAVING min(b) < a",
         "p5_whole": _P5 + "SELECT (SELECT count(*) FROM dedup_member) AS n_members, (SELECT count(*) FROM dedup_member) - count(*) AS n_components, true AS within FROM (SELECT a FROM r GROUP BY a HAVING min(b) < a)",
         "p8_found": _P8,

@@ -48,10 +48,25 @@ def test_near_equals_brute_force(spark):
             texts.add(" ".join("".join(c).split()))
     texts = sorted(texts)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
-    got = {(r.id, r.base_id) for r in cosine.near(df.where("id % 3 = 0"), df.where("id % 3 <> 0")).collect()}
+    q, b = df.where("id % 3 = 0"), df.where("id % 3 <> 0")
+    g = [grams(t) for t in texts]
+    for least in ((4, 5), (19, 20)):
+        got = {(r.id, r.base_id): r for r in cosine.near(q, b, least).collect()}
+        want = {(i, j) for i in range(0, len(g), 3) for j in range(len(g)) if j % 3 and least[1] * len(g[i] & g[j]) >= least[0] * len(g[i] | g[j])}
+        assert set(got) == want and len(want) > 5 and all(0.5 < r.cosine <= 1 + 1e-9 for r in got.values())
+
+
+def test_hot_lists_in_parts_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "LIST", 5)
+    rng = random.Random(4)
+    stock = "styrets leder og to medlemmer i fellesskap undertegner avtale nummer "
+    texts = sorted({stock + "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([3, 12, 25]))).strip() for _ in range(150)})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    q, b = df.where("id % 3 = 0"), df.where("id % 3 <> 0")
     g = [grams(t) for t in texts]
     want = {(i, j) for i in range(0, len(g), 3) for j in range(len(g)) if j % 3 and 5 * len(g[i] & g[j]) >= 4 * len(g[i] | g[j])}
-    assert got == want and len(want) > 50
+    assert {(r.id, r.base_id) for r in cosine.near(q, b).collect()} == want and want
+    assert {r.id for r in cosine.nearest(q, b).collect()} == {i for i, _ in want}
 
 
 def test_report(spark):

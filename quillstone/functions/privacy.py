@@ -8,42 +8,84 @@ from pyspark.sql import functions as F
 #: Weights of the control digits of eleven-digit identity numbers (fixed values).
 NO_WEIGHTS = ([3, 7, 6, 1, 8, 9, 4, 5, 2], [5, 4, 3, 2, 7, 6, 5, 4, 3, 2])
 EE_WEIGHTS = ([1, 2, 3, 4, 5, 6, 7, 8, 9, 1], [3, 4, 5, 6, 7, 8, 9, 1, 2, 3])
-#: Words before a birth date or year (fixed values).
-BIRTH_MARKS = ["sünniaeg", "sünnikuupäev", "sündinud", r"sünd\.", r"s\.", "født", r"f\.", "fødselsdato", r"geb\.", "geboren", "born", r"d\.o\.b\.", "jahrgang"]
+#: Words before a birth date or year, as they are written (fixed values).
+BIRTH_MARKS = [
+    "sünniaeg", "sünnikuupäev", "sündinud", "sünd.", "s.", "født", "f.", "fødselsdato",
+    "geb.", "geboren", "born", "d.o.b.", "jahrgang",
+]
 #: Keys of personal identifiers, in their ascii form (fixed values).
-PERSONAL_KEYS = """fodselsnummer fodselsdato foedselsnummer foedselsdato personnummer dnummer cpr cprnummer foedselsdag geburtsdatum geburtsdaten svnr
-sozialversicherungsnummer isikukood synniaeg sunniaeg sunnikuupaev isikukoodhash fyysiliseisikukood fyysiliseisikusynniaeg osaomanikusynniaeg birthdate dateofbirth dob
-nationalid personalidentificationnumber ssn""".split()
+PERSONAL_KEYS = [
+    "fodselsnummer", "fodselsdato", "foedselsnummer", "foedselsdato", "personnummer", "dnummer", "cpr", "cprnummer", "foedselsdag", "geburtsdatum",
+    "geburtsdaten", "svnr", "sozialversicherungsnummer", "isikukood", "synniaeg", "sunniaeg", "sunnikuupaev", "isikukoodhash", "fyysiliseisikukood",
+    "fyysiliseisikusynniaeg", "osaomanikusynniaeg", "birthdate", "dateofbirth", "dob", "nationalid", "personalidentificationnumber", "ssn",
+]
 
 #: Words of law and offices that are no names though capitalised, by jurisdiction (fixed values).
 LEGAL_WORDS = {
-    "NO": """daglig leder lederen styrets styret styre styreleder styrelederen styremedlem styremedlemmer styremedlemmene medlem medlemmer medlemmene nestleder nestlederen
-varamedlem signatur signaturen signaturrett prokura prokuristen prokurist prokurister fellesskap hver for seg alene eller og to tre fire ett en et av i med
-sammen selskapet selskapets foretaket foretakets firmaet firma firmaets tegnes tegner tegningsrett deltakerne deltaker deltakere komplementar komplementaren
-kommandittist administrerende direktør direktøren adm dir ceo chairman the board of directors and jointly alone two members member chair managing director
-daglige ledere generalforsamlingen kasserer sekretær sekretæren kassereren formann formannen nestformann styreformann styreformannen gruppe gruppen sameiet
-sameie borettslaget foreningen stiftelsen laget klubben rådet hele samlet samlede minst inntil over under kr nok beløp beløpsgrense også kan skal ved til om på
-fra den de det denne dette disse enten eventuelt alle samtlige øvrige andre annen nr jf iht signere signerer binde binder forplikte forplikter dagleg leiar
-leiaren styreleiar styreleiaren nestleiar åleine saman kvar eitt ein styremedlemene medlemene""".split(),
-    "AT": """geschäftsführer geschäftsführerin geschäftsführern geschäftsführers geschäftsleiter geschäftsleiterin prokurist prokuristin prokuristen prokuristinnen
-gesamtprokurist gesamtprokuristin gesamtprokuristen einzelprokurist einzelprokura gesamtprokura prokura vorstand vorstands vorstandes vorstandsmitglied
-vorstandsmitglieder vorstandsmitgliedern vorsitzende vorsitzender vorsitzenden vorstandsvorsitzende vorstandsvorsitzender stellvertreter stellvertreterin
-stellvertretendes vorstandsmitgliedes obmann obfrau obmannstellvertreter obfraustellvertreterin obmann-stellvertreter aufsichtsrat aufsichtsrats aufsichtsrates
-gesellschafter gesellschafterin gesellschaftern komplementär komplementärin kommanditist kommanditistin abwickler abwicklerin liquidator liquidatorin
-masseverwalter masseverwalterin vertreter vertreterin mitglied mitglieder mitgliedern firma gesellschaft zweigniederlassung zweigniederlassungen grundstücken
-grundstück grundstücke veräusserung veräußerung belastung berechtigung befugnis ermächtigung vertretung vertretungsbefugnis einzelvertretung gesamtvertretung
-abs ugb gmbhg aktg eur euro betrag beträge rechtsgeschäfte geschäfte zustimmung generalversammlung beschluss herr herrn frau gmbh ag kg og flexkapg""".split(),
-    "DK": """selskabet selskabets virksomheden virksomhedens foreningen fonden partnerselskabet kommanditselskabet interessentskabet andelsselskabet tegnes tegner
-tegningsret af en én et to tre fire fem direktør direktøren direktører direktørerne direktion direktionen direktionens administrerende adm dir samlede samlet
-bestyrelse bestyrelsen bestyrelsens bestyrelsesmedlem bestyrelsesmedlemmer bestyrelsesmedlemmerne medlem medlemmer medlemmerne formand formanden formandens
-næstformand næstformanden suppleant i forening med eller og alene hver for sig sammen den de det samtlige alle interessent interessenter interessenterne
-komplementar komplementaren komplementarer kommanditist prokura prokurist prokuristen prokurister filialbestyrer filialbestyreren filialbestyrere uddeler
-uddeleren tilsynsråd tilsynsrådet generalforsamlingen aps ivs amba fmba smba holding""".split(),
+    "NO": [
+        "daglig", "leder", "lederen", "styrets", "styret", "styre", "styreleder", "styrelederen", "styremedlem", "styremedlemmer", "styremedlemmene",
+        "medlem", "medlemmer", "medlemmene", "nestleder", "nestlederen", "varamedlem", "signatur", "signaturen", "signaturrett", "prokura",
+        "prokuristen", "prokurist", "prokurister", "fellesskap", "hver", "for", "seg", "alene", "eller", "og", "to", "tre", "fire", "ett", "en",
+        "et", "av", "i", "med", "sammen", "selskapet", "selskapets", "foretaket", "foretakets", "firmaet", "firma", "firmaets", "tegnes", "tegner",
+        "tegningsrett", "deltakerne", "deltaker", "deltakere", "komplementar", "komplementaren", "kommandittist", "administrerende", "direktør",
+        "direktøren", "adm", "dir", "ceo", "chairman", "the", "board", "of", "directors", "and", "jointly", "alone", "two", "members", "member",
+        "chair", "managing", "director", "daglige", "ledere", "generalforsamlingen", "kasserer", "sekretær", "sekretæren", "kassereren", "formann",
+        "formannen", "nestformann", "styreformann", "styreformannen", "gruppe", "gruppen", "sameiet", "sameie", "borettslaget", "foreningen",
+        "stiftelsen", "laget", "klubben", "rådet", "hele", "samlet", "samlede", "minst", "inntil", "over", "under", "kr", "nok", "beløp",
+        "beløpsgrense", "også", "kan", "skal", "ved", "til", "om", "på", "fra", "den", "de", "det", "denne", "dette", "disse", "enten", "eventuelt",
+        "alle", "samtlige", "øvrige", "andre", "annen", "nr", "jf", "iht", "signere", "signerer", "binde", "binder", "forplikte", "forplikter",
+        "dagleg", "leiar", "leiaren", "styreleiar", "styreleiaren", "nestleiar", "åleine", "saman", "kvar", "eitt", "ein", "styremedlemene",
+        "medlemene",
+    ],
+    "AT": [
+        "geschäftsführer", "geschäftsführerin", "geschäftsführern", "geschäftsführers", "geschäftsleiter", "geschäftsleiterin", "prokurist",
+        "prokuristin", "prokuristen", "prokuristinnen", "gesamtprokurist", "gesamtprokuristin", "gesamtprokuristen", "einzelprokurist",
+        "einzelprokura", "gesamtprokura", "prokura", "vorstand", "vorstands", "vorstandes", "vorstandsmitglied", "vorstandsmitglieder",
+        "vorstandsmitgliedern", "vorsitzende", "vorsitzender", "vorsitzenden", "vorstandsvorsitzende", "vorstandsvorsitzender", "stellvertreter",
+        "stellvertreterin", "stellvertretendes", "vorstandsmitgliedes", "obmann", "obfrau", "obmannstellvertreter", "obfraustellvertreterin",
+        "obmann-stellvertreter", "aufsichtsrat", "aufsichtsrats", "aufsichtsrates", "gesellschafter", "gesellschafterin", "gesellschaftern",
+        "komplementär", "komplementärin", "kommanditist", "kommanditistin", "abwickler", "abwicklerin", "liquidator", "liquidatorin",
+        "masseverwalter", "masseverwalterin", "vertreter", "vertreterin", "mitglied", "mitglieder", "mitgliedern", "firma", "gesellschaft",
+        "zweigniederlassung", "zweigniederlassungen", "grundstücken", "grundstück", "grundstücke", "veräusserung", "veräußerung", "belastung",
+        "berechtigung", "befugnis", "ermächtigung", "vertretung", "vertretungsbefugnis", "einzelvertretung", "gesamtvertretung", "abs", "ugb",
+        "gmbhg", "aktg", "eur", "euro", "betrag", "beträge", "rechtsgeschäfte", "geschäfte", "zustimmung", "generalversammlung", "beschluss", "herr",
+        "herrn", "frau", "gmbh", "ag", "kg", "og", "flexkapg",
+    ],
+    "DK": [
+        "selskabet", "selskabets", "virksomheden", "virksomhedens", "foreningen", "fonden", "partnerselskabet", "kommanditselskabet",
+        "interessentskabet", "andelsselskabet", "tegnes", "tegner", "tegningsret", "af", "en", "én", "et", "to", "tre", "fire", "fem", "direktør",
+        "direktøren", "direktører", "direktørerne", "direktion", "direktionen", "direktionens", "administrerende", "adm", "dir", "samlede", "samlet",
+        "bestyrelse", "bestyrelsen", "bestyrelsens", "bestyrelsesmedlem", "bestyrelsesmedlemmer", "bestyrelsesmedlemmerne", "medlem", "medlemmer",
+        "medlemmerne", "formand", "formanden", "formandens", "næstformand", "næstformanden", "suppleant", "i", "forening", "med", "eller", "og",
+        "alene", "hver", "for", "sig", "sammen", "den", "de", "det", "samtlige", "alle", "interessent", "interessenter", "interessenterne",
+        "komplementar", "komplementaren", "komplementarer", "kommanditist", "prokura", "prokurist", "prokuristen", "prokurister", "filialbestyrer",
+        "filialbestyreren", "filialbestyrere", "uddeler", "uddeleren", "tilsynsråd", "tilsynsrådet", "generalforsamlingen", "aps", "ivs", "amba",
+        "fmba", "smba", "holding",
+    ],
 }
 
-_EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
-_BIRTH = rf"(?iU)(?<!\w)({'|'.join(BIRTH_MARKS)})\s*:?\s*(?:\d{{1,2}}\.\s?\d{{1,2}}\.\s?\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|(?:18|19|20)\d{{2}}(?!\w))"
-_ELEVEN = r"(?<![\d-])(\d{11})(?![\d-])"
+#: A word character of a mail address: letters, marks, digits and connecting signs.
+_MAIL_PART = r"[\p{L}\p{M}\p{N}\p{Pc}-]+"
+_EMAIL = rf"(?:{_MAIL_PART}|[.+])+@{_MAIL_PART}(?:\.{_MAIL_PART})+"
+#: Styles of a date after a mark: day first, year first, year alone.
+_DATES = [r"[0-9]{1,2}\.\s?[0-9]{1,2}\.\s?[0-9]{4}", r"[0-9]{4}(?:-[0-9]{2}){2}", r"(?:18|19|20)[0-9]{2}(?![\p{L}\p{N}_])"]
+
+
+def _quoted(word: str) -> str:
+    return "".join(c if c.isalnum() else f"\\{c}" for c in word)
+
+
+_BIRTH = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({'|'.join(map(_quoted, BIRTH_MARKS))})\s*:?\s*(?:{'|'.join(_DATES)})"
+
+
+def _runs(text: Column) -> Column:
+    """The text cut into runs of digits and hyphens, and what stands between them, in order."""
+    return F.regexp_extract_all(text, F.lit("([0-9-]+|[^0-9-]+)"), F.lit(1))
+
+
+def _personal_number(run: Column) -> Column:
+    """Whether a run is nothing but a valid number of eleven digits."""
+    return F.coalesce((F.length(run) == 11) & (valid_no_id(run) | valid_ee_id(run)), F.lit(False))
 
 
 def _digits(c: Column) -> Column:
@@ -78,39 +120,41 @@ def valid_ee_id(c: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Text with valid identity numbers as [ID], birth dates after a mark as [DATE] and e-mail addresses as [EMAIL]."""
-    ids = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_ELEVEN), F.lit(1))), lambda i: valid_no_id(i) | valid_ee_id(i))
-    plain = F.aggregate(ids, text, lambda t, i: F.regexp_replace(t, F.concat(F.lit(r"(?<![\d-])"), i, F.lit(r"(?![\d-])")), F.lit("[ID]")))
+    plain = F.array_join(F.transform(_runs(text), lambda r: F.when(_personal_number(r), F.lit("[ID]")).otherwise(r)), "")
     return F.regexp_replace(F.regexp_replace(plain, _BIRTH, "$1 [DATE]"), _EMAIL, "[EMAIL]")
 
 
 def redactions(text: Column) -> Column:
     """Number of replacements that `redact` makes."""
-    ids = F.filter(F.regexp_extract_all(text, F.lit(_ELEVEN), F.lit(1)), lambda i: valid_no_id(i) | valid_ee_id(i))
-    return F.size(ids) + F.regexp_count(text, F.lit(_BIRTH)) + F.regexp_count(text, F.lit(_EMAIL))
-
+    return F.size(F.filter(_runs(text), _personal_number)) + F.regexp_count(text, F.lit(_BIRTH)) + F.regexp_count(text, F.lit(_EMAIL))
 
-def mask_names(text: Column, names: Column, vocabulary: list[str] = ()) -> Column:
-    """Text with the names of a list as [PERSON_n], numbered by first appearance: whole names, the longest first,
-    then their parts of three letters or more that are no words of the vocabulary. A possessive ending goes with the name."""
-    people = F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"(?U)\s+", " "))), lambda n: n != ""))
-    tagged = F.transform(people, lambda n, i: F.struct((-F.length(n)).alias("w"), i.alias("i"), n.alias("n")))
 
-    def pattern(n: Column) -> Column:
-        quoted = F.regexp_replace(n, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"[\s\-]+", r"[\\s\\-]+"), F.lit(r"(?:'?s)?(?!\w)"))
+def _name_form(c: Column) -> Column:
+    """Comparison form of a name or a part of one: lower case, with single spaces for blanks and hyphens."""
+    return F.lower(F.trim(F.regexp_replace(c, r"[\s\x{A0}-]+", " ")))
 
-    def sub(t: Column, x: Column) -> Column:
-        return F.regexp_replace(t, pattern(x.getField("n")), F.concat(F.lit("\x02"), x.getField("i").cast("string"), F.lit("\x03")))
 
-    whole = F.aggregate(F.array_sort(tagged), text, sub)
-    words = F.flatten(F.transform(tagged, lambda x: F.transform(F.split(x.getField("n"), r"[\s\-]+"), lambda p: F.struct(x.getField("w").alias("w"), x.getField("i").alias("i"), p.alias("n")))))
-    vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    parts = F.filter(words, lambda x: (F.length(x.getField("n")) >= 3) & ~F.array_contains(vocab, F.lower(x.getField("n"))))
-    marked = F.aggregate(parts, whole, sub)
-    seen = F.array_distinct(F.regexp_extract_all(marked, F.lit("\x02(\\d+)\x03"), F.lit(1)))
-    numbered = F.transform(seen, lambda s, i: F.struct(s.alias("s"), (i + 1).cast("string").alias("k")))
-    out = F.aggregate(numbered, marked, lambda t, x: F.replace(t, F.concat(F.lit("\x02"), x.getField("s"), F.lit("\x03")), F.concat(F.lit("[PERSON_"), x.getField("k"), F.lit("]"))))
-    return F.when(F.size(F.coalesce(people, F.array().cast("array<string>"))) > 0, out).otherwise(text)
+def mask_names(text: Column, names: Column, vocabulary: list[str] = ()) -> Column:
+    """Text with the names of a list as [PERSON_n], numbered by first appearance: whole names and, of three letters or more,
+    their parts that are no words of the vocabulary. A possessive ending goes with the name.
+
+    One pass from left to right: the text is cut at the names, the longest first at each place; every name found is looked up
+    and numbered, and the cuts are filled in order."""
+    none = F.array().cast("array<string>")
+    people = F.array_distinct(F.filter(F.transform(F.coalesce(names, none), _name_form), lambda n: n != ""))
+    vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else none
+    parts = lambda n, i: F.transform(F.filter(F.split(n, " "), lambda p: (F.length(p) >= 3) & ~F.array_contains(vocab, p)), lambda p: F.struct((-F.length(p)).alias("w"), i.alias("i"), p.alias("n")))
+    whole = F.array_sort(F.transform(people, lambda n, i: F.struct((-F.length(n)).alias("w"), i.alias("i"), n.alias("n"))))
+    known = F.concat(whole, F.array_sort(F.flatten(F.transform(people, parts))))
+    quoted = F.transform(known, lambda x: F.regexp_replace(F.regexp_replace(x.getField("n"), r"([^\p{L}\p{N} ])", r"\\$1"), " ", r"[\\s\\x{A0}-]+"))
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(quoted, "|"), F.lit(r")(?:'?s)?(?!\w)"))
+    # Every name found, as the first of the known ones that it is; persons in order of appearance.
+    said = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda m: F.get(F.filter(known, lambda x: x.getField("n") == _name_form(m)), F.lit(0)).getField("i"))
+    persons = F.array_distinct(said)
+    tokens = F.transform(said, lambda i: F.concat(F.lit("[PERSON_"), F.array_position(persons, i).cast("string"), F.lit("]")))
+    between = F.split(text, pattern, -1)
+    filled = F.array_join(F.zip_with(between, tokens, lambda t, k: F.concat(t, F.coalesce(k, F.lit("")))), "")
+    return F.when(F.size(people) > 0, filled).otherwise(text)
 
 
 def residual_name(text: Column, vocabulary: list[str], forms: tuple[str, ...] = ("AS", "ASA", "ANS", "DA", "KS", "SA", "GmbH", "ApS")) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Questions by type, and the options of those with choices (fixed values).
-RULE_TYPES = """sole_ceo sole_chair sole_any_board_member sole_specific_roles joint_two_any joint_two_specific joint_role_combo joint_three_plus board_jointly
-mixed_alternatives joint_alternatives prokura_only_rule no_rule_registered other_unmapped""".split()
+RULE_TYPES = [
+    "sole_ceo", "sole_chair", "sole_any_board_member", "sole_specific_roles", "joint_two_any", "joint_two_specific", "joint_role_combo",
+    "joint_three_plus", "board_jointly", "mixed_alternatives", "joint_alternatives", "prokura_only_rule", "no_rule_registered", "other_unmapped",
+]
 CHOICES = {"rule_type": RULE_TYPES, "min_signers": ["1", "2", "3+", "all_board"]}
 LEVELS = {"ambiguity": 4}
 #: Roles, by register, of which a company needs one for a question to apply (fixed values).

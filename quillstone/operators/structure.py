@@ -8,8 +8,10 @@ subtype tables share the supertype columns (child, record key, positions of the
 that each row keeps its key and its link to its parent.
 
 Defined cases: a null, empty, cut-off or otherwise unreadable body gives no row; keys without a rule
-are skipped; of equal keys in one object the last counts; an element that is no object keeps its
-place in its list but gives no row; records delivered more than once count once; an empty table
+are skipped, however deep what they hold; text that holds JSON is read through however often it is wrapped; of equal
+keys in one object the last counts; an element that is no object keeps its
+place in its list but gives no row; records delivered more than once count once, and an id that is delivered with
+different bodies has the rows of all of them; an empty table
 gives empty tables. Columns of the input other than the key and the body are not read, so clashing
 names do no harm.
 """
@@ -32,7 +34,6 @@ NODE_SCHEMA = "child string, record_id bigint, pos1 int, pos2 int, pos3 int, cod
 _ARROW = pa.schema(
     [("child", pa.string()), ("record_id", pa.int64()), ("pos1", pa.int32()), ("pos2", pa.int32()), ("pos3", pa.int32()), ("code", pa.string()), ("shape", pa.string())]
 )
-_MOST_WRAPS = 8
 
 
 @dataclass(frozen=True)
@@ -51,16 +52,98 @@ class Shape:
     code_required: bool = False
 
 
+_SCALAR = re.compile(r"\s*(?:(null|true|false|NaN|-?Infinity)|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?))")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_FIXED = {"null": None, "true": True, "false": False, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def _read_deep(text: str) -> object:
+    """JSON of any depth, without recursion; ValueError if it isn't any."""
+    at, n = 0, len(text)
+    stack: list[object] = []
+    key: list[str | None] = []  # the key under which the next value of each open object goes
+    root: list[object] = []
+
+    def blank(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    def put(value: object) -> None:
+        if not stack:
+            root.append(value)
+        elif isinstance(stack[-1], list):
+            stack[-1].append(value)
+        else:
+            stack[-1][key[-1]] = value
+
+    def read_key(i: int) -> int:
+        i = blank(i)
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        key[-1], i = json.decoder.scanstring(text, i + 1, True)
+        i = blank(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return i + 1
+
+    while True:
+        at = blank(at)
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            opened: object = {} if c == "{" else []
+            put(opened)
+            after = blank(at + 1)
+            if text[after : after + 1] == ("}" if c == "{" else "]"):
+                at = after + 1
+            else:
+                stack.append(opened)
+                key.append(None)
+                at = read_key(at + 1) if c == "{" else at + 1
+                continue
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+            put(value)
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError("no value")
+            number = m.group(2)
+            put(_FIXED[m.group(1)] if m.group(1) else float(number) if re.search("[.eE]", number) else int(number))
+            at = m.end()
+        # What follows a value: the end of what is open, or a comma.
+        while True:
+            at = blank(at)
+            if not stack:
+                if at != n:
+                    raise ValueError("more than one value")
+                return root[0]
+            c, closing = text[at : at + 1], "]" if isinstance(stack[-1], list) else "}"
+            at += 1
+            if c == ",":
+                if closing == "}":
+                    at = read_key(at)
+                break
+            if c != closing:
+                raise ValueError("no end")
+            stack.pop()
+            key.pop()
+
+
+def _loads(text: str) -> object:
+    """The JSON value of a text, of any depth; ValueError if it isn't any."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _read_deep(text)
+
+
 def unwrap(value: object) -> object:
-    """The value itself; text that holds JSON is read through, at most `_MOST_WRAPS` times."""
-    for _ in range(_MOST_WRAPS):
-        if not isinstance(value, str):
-            return value
+    """The value itself; text that holds JSON is read through, as often as it is wrapped, and None if it can't be read."""
+    while isinstance(value, str):  # each reading leaves a shorter text
         try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
+            value = _loads(value)
+        except ValueError:
             return None
-    return None
+    return value
 
 
 def _scalar(value: object) -> str | None:
@@ -122,8 +205,8 @@ def read_json(body: str | None) -> object:
     if not body:
         return None
     try:
-        return json.loads(body)
-    except (ValueError, RecursionError):
+        return _loads(body)
+    except ValueError:
         return None
 
 

@@ -82,3 +82,33 @@ def test_key_paths_of_wrapped_bodies(spark):
 
     df = spark.createDataFrame([(json.dumps(json.dumps({"a": [{"b": 1}]})),), (json.dumps({"a": json.dumps({"b": "{"})}),)], "body string")
     assert sorted(tuple(r) for r in key_paths(df, "body").collect()) == [("a", 2), ("a.b", 1), ("a[].b", 1)]
+
+
+def test_wraps_and_depth_without_bounds():
+    import json
+
+    from quillstone.operators import structure as S
+
+    body = {"signeringsGrunnlag": {"kode": "A"}}
+    rows = lambda text: [r[:3] for r in S.run_automaton(S.LOOKUP_SHAPES, "body", S.read_json(text))]
+    wrapped = json.dumps(body)
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    assert rows(wrapped) == [("grunnlag", (), "A")]
+    deep = "[" * 200_000 + "]" * 200_000
+    assert rows('{"other": ' + deep + ', "signeringsGrunnlag": {"kode": "B"}}') == [("grunnlag", (), "B")]
+    assert rows('{"other": ' + deep[:-1] + "}") == []
+
+
+def test_deep_reader_equals_the_plain_one():
+    import json
+
+    import pytest
+
+    from quillstone.operators.structure import _read_deep
+
+    for text in ['{"a": [1, -2.5e3, "x\\u00e5\\n", null, true, {}], "b": {"c": []}, "a": 2}', " [ ] ", '"t"', "12", "[[1],[2,[3]]]"]:
+        assert _read_deep(text) == json.loads(text)
+    for text in ["", "{", "[1,]", '{"a" 1}', "[1] 2", "nul", '{"a":1,}', "[1 2]", "01"]:
+        with pytest.raises(ValueError):
+            _read_deep(text)

@@ -132,8 +132,7 @@ def representation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from the wording and the codes of extracts (rows only). Without any wording, E alone and X are clear by themselves; a company with another line that lacks one is left out."""
     f = registers.extract_functions(table(spark, sf_dir, "at_extract")).where(F.col("fken").isin(*registers.REPRESENTING))
     office = F.when(F.col("fken").isin("GF", "GL"), "CEO").when((F.col("fken") == "VM") & F.col("vsbeide").isin("V", "O"), "CHAIR").when((F.col("fken") == "VM") & F.col("vsbeide").isin("B", "R"), "DEPUTY_CHAIR").when(F.col("fken") == "VM", "BOARD_MEMBER").otherwise("PARTNER")
-    wording = F.coalesce("wording", F.when(F.col("vart") == "E", "vertritt selbständig").when(F.col("vart") == "X", "ist nicht vertretungsbefugt"))
-    return phrases.company_rules(f.select(F.col("extract_id").alias("company"), office.alias("office"), wording.alias("text"), F.col("vart").alias("code")))
+    return phrases.company_rules(f.select(F.col("extract_id").alias("company"), office.alias("office"), F.col("wording").alias("text"), F.col("vart").alias("code")))
 
 
 @R.add(None)

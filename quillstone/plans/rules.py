@@ -71,10 +71,9 @@ def consistency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(None)
 def composed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts made up of the descriptions of rules (rows only)."""
-    t = table(spark, sf_dir, "dedup_member").select("member_id", F.col("signature_key").alias("t"))
-    known = ontology.rule_table(spark).select(F.lit(None).cast("bigint").alias("member_id"), F.concat("description", F.lit(". Daglig leder alene.")).alias("t"), "code").withColumn("member_id", -F.substring("code", 2, 4).cast("bigint")).drop("code")
-    return ontology.compose(t.unionAll(known).where("t is not null"), "member_id", "t")
+    """Signing texts all of whose parts are descriptions of rules (rows only; none where no text is so made up)."""
+    t = table(spark, sf_dir, "dedup_member").where("signature_key is not null").select("member_id", F.col("signature_key").alias("t"))
+    return ontology.compose(t, "member_id", "t")
 
 
 @R.add("""WITH d AS (SELECT record_id, u.p AS p FROM no_record, unnest([signature_text, procuration_text]) u(p) WHERE u.p IS NOT NULL)

@@ -130,3 +130,52 @@ def test_secret_scan_has_every_kind(spark, tmp_path):
     }
     spark.createDataFrame([(1, "\n".join([*lines.values(), "310270-1234", "x310170-1234", "token"]))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.kind: r.n for r in secret_scan(spark, str(tmp_path)).collect()} == {k: 1 for k in lines}
+
+
+def test_rules_of_bodies(spark):
+    import json
+
+    from quillstone.operators import bodies, ontology
+
+    def body(rule=None, ident=None, combos=None, text=None, routine="OK"):
+        return json.dumps({"status": {"rutineStatus": {"kode": routine}, "regelStatus": {"kode": rule, "regelIdent": ident}}, "signeringsGrunnlag": {"signaturProkuraRoller": {"signaturProkuraFritekst": text}}, "signeringsKombinasjon": {"kombinasjon": combos}})
+
+    two = [{"navn": "A"}, {"navn": "B"}, {"navn": "C"}]
+    rows = [
+        (1, body("RF", "R0001", [{"kode": "R0005"}, {"kode": "X9"}, {"kode": None}, {"kode": "R0005"}])),
+        (2, body("RF", None, {"kode": "R0001"}, " Styrets  leder ALENE. ")),  # a lone object
+        (3, json.dumps(body("RF", None, [{"kode": "SIFE", "personRolleKombinasjon": two}]))),  # wrapped
+        (4, body("RI", None, [{"kode": "STYR"}])),
+        (5, body("RI", None, None, "Styret og en til")),
+        (6, body("RT", None, [{"kode": "R0001"}])),
+        (7, body("RF", "R0001", None, None, "NA")),
+        (8, "{"),
+        (9, None),
+        (2, body("RF", None, {"kode": "R0001"}, " Styrets  leder ALENE. ")),
+    ]
+    df = spark.createDataFrame([(i, "o", "signatur", b, "x") for i, b in rows], "lookup_id bigint, orgnr string, kind string, body string, code string")
+    s = bodies.signing(bodies.lookup_codes(df))
+    level, least = bodies.ambiguity(s), ontology.min_signers(F.col("status"), F.col("alternatives"), F.col("statutory"))
+    got = {r.lookup_id: r for r in s.select("*", level.alias("level"), least.alias("least")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and s.count() == 6
+    assert (got[1].rule_codes, got[1].unmapped, got[1].least, got[1].level) == (["R0005", "R0001"], ["X9"], "1", None)
+    assert (got[2].least, got[2].level) == ("1", 0)
+    assert (got[3].person_specific, got[3].alternatives[0].roles[0].n, got[3].least) == (True, 3, "3+")
+    assert (got[4].status, got[4].least) == ("none", "all_board") and (got[5].status, got[5].least) == ("uninterpretable", None)
+    assert (got[6].status, got[6].rule_codes, got[6].alternatives) == ("uninterpretable", [], [])
+    p = [
+        (1, body("RF", "R0005", [{"kode": "PROK"}])),
+        (2, body("RF", "R0005", None)),
+        (3, body(None, None, None)),
+        (4, body("RT", None, None, None, "NA")),
+        (5, body("RI", None, None, "noe")),
+        (6, body("RF", "POFE", [{"kode": "R0001"}])),
+    ]
+    df = spark.createDataFrame([(i, "o", "prokura", b) for i, b in p], "lookup_id bigint, orgnr string, kind string, body string")
+    assert {r.lookup_id: (r.present, r.mode) for r in bodies.procuration(bodies.lookup_codes(df)).collect()} == {1: (True, "mixed"), 2: (True, "joint"), 3: (False, None), 4: (None, None), 5: (True, None), 6: (True, "mixed")}
+
+
+def test_lines_without_text_count_by_their_code(spark):
+    rows = [("a", "CEO", None, "E"), ("b", "CEO", "", "G"), ("c", "CEO", None, "E"), ("c", "BOARD_MEMBER", None, "X"), ("d", "CEO", "vertritt gemeinsam mit einem Prokuristen", "G"), ("d", "CEO", None, "E"), ("e", "CEO", "vertritt gemeinsam mit einem Geschäftsführer", "G")]
+    got = {r.company: (r.alternatives, r.person_specific) for r in phrases.company_rules(spark.createDataFrame(rows, "company string, office string, text string, code string")).collect()}
+    assert got == {"a": (["CEO:1"], False), "c": (["CEO:1"], False), "d": (["CEO:1;PROKURIST:1"], True), "e": (["CEO:2"], False)}

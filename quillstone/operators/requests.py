@@ -191,3 +191,12 @@ def secret_lines(df: DataFrame, id: str, text: str) -> DataFrame:
     cpr = F.exists(F.regexp_extract_all("_l", F.lit(_CPR), F.lit(1)), lambda d: day(d).isNotNull())
     kinds = F.filter(F.array(*[F.when(F.col("_l").rlike(p), k) for k, p in SECRETS.items()], F.when(cpr, "CPR number")), lambda k: k.isNotNull())
     return lines.select(id, "line", F.explode(kinds).alias("kind"))
+
+
+def scrub(text: Column, allowed: list[str]) -> Column:
+    """The redacted text with every capitalised word that isn't `allowed` (in lower case) as [X]; tokens in brackets stay. Null stays null."""
+    from ..functions.privacy import redact
+
+    parts = F.regexp_extract_all(redact(text), F.lit(r"(\[[A-Z]+(?:_\d+)?\]|\p{L}[\p{L}\p{M}'-]*|[^\p{L}\[]+|\[)"), F.lit(1))
+    kept = F.array(*[F.lit(w) for w in allowed])
+    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^\p{Lu}") & ~F.array_contains(kept, F.lower(w)), F.lit("[X]")).otherwise(w)), "")

@@ -53,7 +53,7 @@ MOST_TERMS = 1 << 20
 #: Least overlap, as a fraction.
 LEAST = (4, 5)
 #: Entries of one part of an inverted list, on average.
-LIST = 1_000
+LIST = 10_000
 #: Similar sizes differ by at most 1 / 0.8; classes grow a little faster, so that similar texts are in neighbouring ones.
 GROWTH = 1.26
 _BOUNDS = np.unique(np.floor(GROWTH ** np.arange(0, 110)))

@@ -52,13 +52,15 @@ def applicable_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("jurisdiction", "qid").agg(F.count("*").alias("n"), F.count_if(F.map_contains_key("kept", F.col("qid"))).alias("n_kept")).where("n_kept > 0")
 
 
-@R.add("""SELECT member_id, length(coalesce(request.state.signature_rule, '')) > 0 AS has_signature, coalesce(len(request.state.roles), 0) > 0 AS has_roles FROM dedup_member""")
+@R.add("""SELECT member_id, request.state.jurisdiction AS jurisdiction, nullif(request.state.legal_form, '') AS legal_form, nullif(request.state.signature_rule, '') AS signature_rule,
+nullif(request.state.procuration_rule, '') AS procuration_rule, nullif(len(request.state.roles), 0) AS n_roles FROM dedup_member""")
 def state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States as JSON, and which of their fields are there."""
+    """States as JSON, with what their fields hold when they are read back."""
     s = F.col("request.state")
     j = requests.state(s.getField("jurisdiction"), s.getField("legal_form"), s.getField("signature_rule"), s.getField("procuration_rule"), s.getField("roles"))
     d = table(spark, sf_dir, "dedup_member").select("member_id", j.alias("j"))
-    return d.select("member_id", F.get_json_object("j", "$.signature_rule").isNotNull().alias("has_signature"), F.get_json_object("j", "$.roles").isNotNull().alias("has_roles"))
+    fields = ["jurisdiction", "legal_form", "signature_rule", "procuration_rule"]
+    return d.select("member_id", *[F.get_json_object("j", f"$.{f}").alias(f) for f in fields], F.json_array_length(F.get_json_object("j", "$.roles")).cast("bigint").alias("n_roles"))
 
 
 _ROLE_VALUES = ", ".join(f"('{c}', '{v}', {i})" for i, (c, v) in enumerate(requests.NO_ROLES.items()))
@@ -88,8 +90,17 @@ def _gates(items: DataFrame, members: DataFrame) -> DataFrame:
 
 @R.add("""@p, x AS (SELECT CASE WHEN qid = 'parseable' THEN 'experimental' WHEN p.threshold IS NULL OR conf < p.threshold THEN 'threshold' ELSE 'answered' END AS reason, s.qtype FROM s JOIN p USING (qtype) WHERE p.alpha = 0.05)
 SELECT qtype, reason, count(*) AS n FROM x GROUP BY ALL""", p=_POLICY)
+def threshold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why answers are withheld at a risk of five per cent, by their thresholds alone."""
+    s = metrics.scored(table(spark, sf_dir, "item"))
+    policy = calibrate.certify(s, ["qtype"], [0.05]).select("qtype", "threshold")
+    why = requests.abstain(F.lit(False), F.col("conf"), F.col("threshold"), F.lit(True), F.col("qid") == "parseable")
+    return s.join(F.broadcast(policy), "qtype").groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@R.add(None)
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why answers are withheld at a risk of five per cent."""
+    """Why answers are withheld at a risk of five per cent, names left in texts and contradicting answers included (rows only)."""
     items, members = table(spark, sf_dir, "item"), table(spark, sf_dir, "dedup_member")
     s = metrics.scored(items)
     policy = calibrate.certify(s, ["qtype"], [0.05]).select("qtype", "threshold")
@@ -99,20 +110,31 @@ def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@R.add("""@s, d AS (SELECT DISTINCT rid, qid, min(conf) AS p, min(pred) AS pred FROM s GROUP BY ALL), b AS (SELECT rid, qid, round(p, 1) AS p, pred FROM d WHERE p < 0.98)
-SELECT count(b.p) AS n, count(*) - count(b.p) AS n_unmatched, round(avg(CASE WHEN b.p IS NOT NULL THEN 1.0 END), 6) AS same_option, round(max(abs(d.p - b.p)), 6) AS max_diff, round(avg(abs(d.p - b.p)), 6) AS mean_diff
+@R.add("""@s, d AS (SELECT rid, qid, min(conf) AS p, min(pred) AS pred FROM s GROUP BY ALL), b AS (SELECT rid, qid, min(p_gold) AS p, min(y) AS pred FROM s WHERE p_gold IS NOT NULL GROUP BY ALL)
+SELECT count(b.p) AS n, count(*) - count(b.p) AS n_unmatched, round(avg(CASE WHEN b.p IS NOT NULL THEN CAST(d.pred = b.pred AS INT) END), 6) AS same_option, round(max(abs(d.p - b.p)), 6) AS max_diff, round(avg(abs(d.p - b.p)), 6) AS mean_diff
 FROM d LEFT JOIN b ON d.rid = b.rid AND d.qid = b.qid""", s=_SCORED)
 def model_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A predictor against itself with rounded probabilities and some answers missing."""
-    d = metrics.scored(table(spark, sf_dir, "item")).groupBy("rid", "qid").agg(F.min("conf").alias("p"), F.min("pred").alias("pred"))
-    b = d.where("p < 0.98").withColumn("p", F.round("p", 1))
+    """The predictions with their confidences against the right options with theirs, where there are any."""
+    s = metrics.scored(table(spark, sf_dir, "item"))
+    d = s.groupBy("rid", "qid").agg(F.min("conf").alias("p"), F.min("pred").alias("pred"))
+    b = s.where("p_gold is not null").groupBy("rid", "qid").agg(F.min("p_gold").alias("p"), F.min("y").alias("pred"))
     out = requests.parity(d, b, ["rid", "qid"])
     return out.select("n", "n_unmatched", *[F.round(c, 6).alias(c) for c in ("same_option", "max_diff", "mean_diff")])
 
 
-@R.add("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL)
-SELECT 'assigned secret' AS kind, count_if(regexp_matches(l, '(?i)(password|passwd|secret|api[_-]?key)[ ]*[:=][ ]*[^ ]{6,}')) AS n FROM l
-UNION ALL SELECT 'access key', count_if(regexp_matches(l, 'AKIA[0-9A-Z]{16}')) FROM l""")
+@R.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT list_filter(regexp_extract_all(l, '(^|[^0-9A-Za-z])([0-9]{6})-[0-9]{4}($|[^0-9A-Za-z])', 2), lambda d: try_strptime('19' || d[5:6] || d[3:4] || d[1:2], '%Y%m%d') IS NOT NULL) AS days FROM l)
+SELECT 'private key' AS kind, count_if(regexp_matches(l, '-----BEGIN [A-Z ]*PRIVATE KEY-----')) AS n FROM l
+UNION ALL SELECT 'access key', count_if(regexp_matches(l, 'AKIA[0-9A-Z]{16}')) FROM l
+UNION ALL SELECT 'personal token', count_if(regexp_matches(l, 'gh[pousr]_[A-Za-z0-9]{30,}')) FROM l
+UNION ALL SELECT 'web token', count_if(regexp_matches(l, 'eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}')) FROM l
+UNION ALL SELECT 'assigned secret', count_if(regexp_matches(l, '(?i)(password|passwd|secret|api[_-]?key)[ ]*[:=][ ]*[^ ]{6,}')) FROM l
+UNION ALL SELECT 'quoted secret', count_if(regexp_matches(l, '(?i)(api[_-]?key|x-api-key|secret|password|passwd|token)["'']?[ \t]*[:=][ \t]*["''][^"'' \t]{12,}["'']')) FROM l
+UNION ALL SELECT 'fine-grained token', count_if(regexp_matches(l, '(^|[^A-Za-z0-9_])github_pat_[A-Za-z0-9_]{40,}')) FROM l
+UNION ALL SELECT 'model hub token', count_if(regexp_matches(l, '(^|[^A-Za-z0-9_])hf_[A-Za-z0-9]{30,}')) FROM l
+UNION ALL SELECT 'service key', count_if(regexp_matches(l, '(^|[^A-Za-z0-9_])sk-(ant-)?[A-Za-z0-9_-]{20,}')) FROM l
+UNION ALL SELECT 'birth date', count_if(regexp_matches(l, '(?i)["'']?(f(o|ø|e|oe|øe)?dsels(dato|nummer)|birth_?date|date_?of_?birth|geburtsdatum|s[uü]nniaeg|s[uü]nnikuup[aä]ev|isikukood|cpr(_?nummer)?)["'']?[ \t]*[:=][ \t]*["'']?[0-9]')) FROM l
+UNION ALL SELECT 'CPR number', count_if(len(days) > 0) FROM c""")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with secrets, by kind; the values are never given."""
     found = requests.secret_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))

@@ -163,17 +163,16 @@ class Reader:
         classes = self.classes
         if given or family:
             classes = {t: self.classes.of(t, given, family) for t in set(_TOKEN.findall(text))}
-        elif not any(classes[t][0] in ("G", "F") for t in _TOKEN.findall(text)):
-            return []
-        tokens = []
+        tokens = []  # parts of names alone: any word between two of them keeps them apart
         for m in _TOKEN.finditer(text):
             kind, gen = classes[m.group()]
-            if kind:
-                if not _free(taken, m.start(), m.end()):
-                    kind = ""
-                elif kind == "I" and (text[m.end() : m.end() + 1] != "." or _NUMBERED.search(text, max(0, m.start() - 3), m.start()) or not m.group().isalpha()):
-                    kind = ""
+            if not kind or not _free(taken, m.start(), m.end()):
+                continue
+            if kind == "I" and (text[m.end() : m.end() + 1] != "." or _NUMBERED.search(text, max(0, m.start() - 3), m.start()) or not m.group().isalpha()):
+                continue
             tokens.append((m.start(), m.end(), kind, gen))
+        if not any(t[2] != "I" for t in tokens):
+            return []
 
         def gap(i: int) -> str:
             return text[tokens[i][1] : tokens[i + 1][0]] if i + 1 < len(tokens) else "\0"

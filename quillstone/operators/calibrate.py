@@ -61,7 +61,7 @@ def strictest(policy: DataFrame, keys: list[str]) -> DataFrame:
 
 def apply_policy(items: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:
     """Items of every alpha with `answered`: false without a threshold or below it."""
-    joined = items.join(F.broadcast(policy), keys)
+    joined = items.join(policy, keys)
     return joined.withColumn("answered", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
 
 
@@ -78,7 +78,7 @@ def fit_temperature(items: DataFrame, by: list[str], logits: str, y: str, steps:
     low, high = math.log(T_RANGE[0]), math.log(T_RANGE[1])
     state = items.select(*by).distinct().withColumn("lo", F.lit(low)).withColumn("hi", F.lit(high))
     for _ in range(passes):
-        joined = items.join(F.broadcast(state), by) if by else items.crossJoin(F.broadcast(state))
+        joined = items.join(state, by) if by else items.crossJoin(F.broadcast(state))
         at = [F.col("lo") + (F.col("hi") - F.col("lo")) * (i / (steps - 1)) for i in range(steps)]
         losses = [F.avg(prob.nll(prob.softmax(F.col(logits), F.exp(a)), F.col(y))).alias(f"l{i}") for i, a in enumerate(at)]
         best = joined.groupBy(*by, "lo", "hi").agg(*losses)

@@ -163,7 +163,7 @@ def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predictor against the most frequent prediction, on the same items."""
     s = _items(spark, sf_dir)
     most = s.groupBy("qid", "pred").agg(F.count("*").alias("n")).groupBy("qid").agg(F.max_by("pred", F.struct("n", (-F.col("pred")).alias("p"))).alias("b"))
-    j = s.join(F.broadcast(most), "qid").withColumn("ok_b", (F.col("y") == F.col("b")).cast("int"))
+    j = s.join(most, "qid").withColumn("ok_b", (F.col("y") == F.col("b")).cast("int"))
     return j.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acc_a"), F.round(F.avg("ok_b"), 6).alias("acc_b"), F.round(F.avg(F.col("ok") - F.col("ok_b")), 6).alias("delta"))
 
 
@@ -252,6 +252,6 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
     long = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
     c = long.groupBy(F.col("label").alias("k"), "i").agg(F.avg("v").alias("m"))
-    dist = long.join(F.broadcast(c), "i").groupBy("vec_id", "label", "k").agg(F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("d"))
+    dist = long.join(c, "i").groupBy("vec_id", "label", "k").agg(F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("d"))
     logits = dist.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", (-F.col("d")).alias("z")))), lambda x: x.z).alias("logits"))
     return calibrate.fit_temperature(logits.withColumn("all", F.lit("all")), ["all"], "logits", "label").select(F.round("t", 3).alias("t"))

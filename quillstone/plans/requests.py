@@ -95,7 +95,7 @@ def threshold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = metrics.scored(table(spark, sf_dir, "item"))
     policy = calibrate.certify(s, ["qtype"], [0.05]).select("qtype", "threshold")
     why = requests.abstain(F.lit(False), F.col("conf"), F.col("threshold"), F.lit(True), F.col("qid") == "parseable")
-    return s.join(F.broadcast(policy), "qtype").groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
+    return s.join(policy, "qtype").groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @R.add(None)
@@ -104,7 +104,7 @@ def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, members = table(spark, sf_dir, "item"), table(spark, sf_dir, "dedup_member")
     s = metrics.scored(items)
     policy = calibrate.certify(s, ["qtype"], [0.05]).select("qtype", "threshold")
-    j = s.join(F.broadcast(policy), "qtype").join(_gates(items, members), "rid", "left")
+    j = s.join(policy, "qtype").join(_gates(items, members), "rid", "left")
     fits = F.coalesce("consistent", F.lit(True)) | ~F.col("qid").isin(*ontology.STRUCTURAL)
     why = requests.abstain(F.coalesce("name_risk", F.lit(False)), F.col("conf"), F.col("threshold"), fits, F.col("qid") == "parseable")
     return j.groupBy("qtype", F.coalesce(why, F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))

@@ -7,9 +7,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes up to which a side of a join may be broadcast by an explicit size check.
-BROADCAST_LIMIT_BYTES = 64 << 20
-
 
 def build(app: str = "quillstone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer; `conf` overrides."""

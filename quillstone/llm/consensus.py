@@ -42,8 +42,8 @@ MOST_BROADCAST = 100_000
 
 def spelling(c: Column) -> Column:
     """Lower case, blanks and hyphens as single underscores, trimmed; a plus sign follows its number directly."""
-    low = F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s_\-]+", " "))), " ", "_")
-    return F.regexp_replace(low, r"_\+", "+")
+    blanks = F.trim(F.translate(F.lower(c), "_-\t\n\x0b\f\r", " " * 7))
+    return F.replace(F.regexp_replace(blanks, " +", "_"), F.lit("_+"), F.lit("+"))
 
 
 def current_votes(gold: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_near_equals_brute_force(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdeikloprst") for _ in range(rng.randint(2, 7)))
     texts = {" ".join(word() for _ in range(rng.choice([1, 2, 5, 30, 200]))) for _ in range(120)}
-    for t in list(texts):
+    for t in sorted(texts):
         for _ in range(3):
             c = list(t)
             for _ in range(rng.randint(1, max(1, len(c) // 12))):
@@ -53,7 +53,7 @@ def test_near_equals_brute_force(spark):
     for least in ((4, 5), (19, 20)):
         got = {(r.id, r.base_id): r for r in cosine.near(q, b, least).collect()}
         want = {(i, j) for i in range(0, len(g), 3) for j in range(len(g)) if j % 3 and least[1] * len(g[i] & g[j]) >= least[0] * len(g[i] | g[j])}
-        assert set(got) == want and len(want) > 5 and all(0.5 < r.cosine <= 1 + 1e-9 for r in got.values())
+        assert set(got) == want and len(want) > 5 and all(0 < r.cosine <= 1 + 1e-9 for r in got.values())
 
 
 def test_hot_lists_in_parts_lose_nothing(spark, monkeypatch):

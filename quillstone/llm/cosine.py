@@ -23,6 +23,10 @@ pair leaves the join that isn't similar.
 What is left gets its exact products: the weighted dot product and cosine, and the number of common trigrams,
 which decides against t.
 
+Disk. A text and its keys are one row until just before the join, which takes the keys in passes by their hash: a pass
+shuffles about ENTRIES entries of the base, or a MOST_PASSES-th of them if there are more, and its shuffle is given up
+before the next. Hot lists are found by counts within partitions, without a shuffle of the keys.
+
 Hot lists. A term that more than LIST texts of the base have is a list in parts. Every text looks into the first
 part; only those that found nothing similar there go through the others, in as many tasks as there are parts. For a
 text that only has to find one similar one (`nearest`), the candidate of least distance is tested first, and the others
@@ -30,7 +34,8 @@ only if it fails. So a third of all texts being near-copies of each other costs
 
 Texts are reduced to distinct ones before the join, and results return to the members, by a hash of 128 bits, through
 joins that split hot keys. Nothing is gathered on the driver but the document frequencies of at most MOST_TERMS
-trigrams, which only order terms and weigh (others count as rarest, so that no pair depends on it).
+trigrams, which only order terms and weigh (others count as rarest, so that no pair depends on it). The MOST_HOT longest lists are
+broadcast with their parts; a further one would be searched whole.
 
 Defined cases: null texts are read as ''; members without text have no exact or near overlap; a null or
 digitless entity_id is no entity; repeated rows of one member give one row; empty tables give empty ones.
@@ -42,18 +47,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import register_number, words_joined
 from ..operators.skew import lookup_join
-from ..session import cut
+from ..session import cut, release
 
 MOST_TERMS = 1 << 20
 #: Least overlap, as a fraction.
 LEAST = (4, 5)
-#: Entries of one part of an inverted list, on average.
+#: Entries of one part of an inverted list, on average at most.
 LIST = 10_000
+#: Lists in parts whose keys are broadcast; all entries together make 2 / LIST times as many at most.
+MOST_HOT = 1 << 17
+#: Entries of the base in one pass of the join, and the number of passes beyond which they hold more.
+ENTRIES, MOST_PASSES = 8_000_000, 8
 #: Similar sizes differ by at most 1 / 0.8; classes grow a little faster, so that similar texts are in neighbouring ones.
 GROWTH = 1.26
 _BOUNDS = np.unique(np.floor(GROWTH ** np.arange(0, 110)))
@@ -124,7 +133,7 @@ def size_class(n: int) -> int:
     return int(np.searchsorted(_BOUNDS, n, "right"))
 
 
-_LISTED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), *[(f"b{i}", pa.int64()) for i in range(4)]])
+_LISTED = pa.schema([("id", pa.int64()), ("n", pa.int32()), *[(f"b{i}", pa.int64()) for i in range(4)], ("keys", pa.list_(pa.int64()))])
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,32 +146,53 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     counts = texts.select("text").mapInArrow(scan, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "gram").limit(MOST_TERMS).toPandas()
-    return got["gram"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in batch.columns], names=["grams", "n"])
+
+    # Packed before they come to the driver, 16 bytes each: as rows, they would be sorted there, and be several hundred bytes each.
+    most = counts.orderBy(F.desc("n"), "gram").limit(MOST_TERMS).select("gram", "n")
+    got = most.mapInArrow(packed, "grams binary, n binary").collect()
+    grams, n = (np.frombuffer(b"".join(r[i] for r in got), np.int64) for i in (0, 1))
+    return grams.view(np.uint64), n
 
 
 def listed(texts: DataFrame, frequencies: object, around: bool, least: tuple[int, int]) -> DataFrame:
-    """Entries (key, id, n, b0..b3) of the inverted lists; `around`: also under the neighbouring size classes."""
+    """(id, n, b0..b3, keys) of each text: the keys of its inverted lists; `around`: also those of the neighbouring size classes."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lister = Lister(*frequencies.value, least)
         for batch in batches:
-            keys, ids, ns, parities = [], [], [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, ns, parities = [], [], []
+            for text in batch.column(1).to_pylist():
                 grams = trigrams(text)
                 mixed = _mix(grams)
                 c = size_class(len(grams))
-                for found in lister.list(grams, mixed, (c - 1, c, c + 1) if around else (c,)):
-                    keys.append(found)
-                    ids.append(np.full(len(found), id_))
-                    ns.append(np.full(len(found), len(grams), np.int32))
-                    parities.append(np.broadcast_to(_parity(mixed), (len(found), 4)))
+                keys.append(np.concatenate(lister.list(grams, mixed, (c - 1, c, c + 1) if around else (c,))))
+                ns.append(len(grams))
+                parities.append(_parity(mixed))
             if keys:
-                p = np.concatenate(parities)
-                cols = [np.concatenate(keys).view(np.int64), np.concatenate(ids).astype(np.int64), np.concatenate(ns), *[np.ascontiguousarray(p[:, i]) for i in range(4)]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _LISTED)], schema=_LISTED)
+                p, ends = np.stack(parities), np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+                cols = [batch.column(0), pa.array(ns, pa.int32()), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(4)], lists]
+                yield pa.RecordBatch.from_arrays(cols, schema=_LISTED)
+
+    return texts.select("id", "text").mapInArrow(scan, "id bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, keys array<bigint>")
+
+
+def _hot(b: DataFrame) -> DataFrame:
+    """(key, parts) of the lists that may have more than LIST entries. Each partition gives the keys that it has more often than
+    LIST / 2 over the number of partitions, so that their sum is less than LIST / 2 short of the entries of a list: lists that aren't
+    given have LIST entries at most, and so have the parts of those that are."""
+    often = LIST / 2 / max(1, b.rdd.getNumPartitions())
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *[x.column(0).flatten().to_numpy(zero_copy_only=False) for x in batches]]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n > often], pa.int64()), pa.array(n[n > often], pa.int64())], names=["key", "n"])
 
-    return texts.select("id", "text").mapInArrow(scan, "key bigint, id bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    sums = b.select("keys").mapInArrow(scan, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > LIST / 2)
+    return cut(sums.orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key", (1 + F.col("n") * 2 / LIST).cast("int").alias("parts")))
 
 
 def _checked(least: tuple[int, int]) -> tuple[int, int]:
@@ -172,13 +202,15 @@ def _checked(least: tuple[int, int]) -> tuple[int, int]:
 
 
 def _lists(queries: DataFrame, base: DataFrame, frequencies: object, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries of both sides, those of the base with their part, and the hot keys (key, parts)."""
-    q, b = listed(queries, frequencies, True, least), cut(listed(base, frequencies, False, least))
-    hot = cut(b.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("key", "n", (1 + F.col("n") / LIST).cast("int").alias("parts")))
-    if hot.isEmpty():
-        return q, b.withColumn("part", F.lit(0)), hot
-    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")
-    return q, lookup_join(b, hot, "key", "n", "parts", how="left").withColumn("part", part).drop("parts"), hot
+    """The texts of both sides with their keys, and the hot keys (key, parts)."""
+    q, b = cut(listed(queries, frequencies, True, least)), cut(listed(base, frequencies, False, least))
+    return q, b, _hot(b)
+
+
+def _entries(lists: DataFrame, hot: DataFrame, how: str, passes: int = 1, at: int = 0) -> DataFrame:
+    """Entries (key, id, n, b0..b3, parts) of those keys that are the turn of the pass `at`; parts of hot keys alone; how: left or inner."""
+    keys = F.filter("keys", lambda k: F.pmod(F.shiftright(k, 8), F.lit(passes)) == at) if passes > 1 else F.col("keys")
+    return lists.select(F.explode(keys).alias("key"), "id", "n", *[f"b{i}" for i in range(4)]).join(F.broadcast(hot), "key", how)
 
 
 def _pairs(q: DataFrame, b: DataFrame, on: list[str], least: tuple[int, int]) -> DataFrame:
@@ -193,11 +225,27 @@ def _pairs(q: DataFrame, b: DataFrame, on: list[str], least: tuple[int, int]) ->
     return q.join(b, close).select(F.col("q.id").alias("id"), F.col("b.id").alias("base_id"), apart.alias("apart")).distinct()
 
 
+def _part() -> Column:
+    return F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")
+
+
+def _first(q: DataFrame, b: DataFrame, hot: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs with the first part of every list, in passes over the keys."""
+    entries = b.agg(F.sum(F.size("keys"))).first()[0] or 0
+    passes = min(MOST_PASSES, 1 + entries // ENTRIES)
+    found = None
+    for at in range(passes):
+        mine = _entries(b, hot, "left", passes, at).where(_part() == 0).drop("parts")
+        pairs = cut(_pairs(_entries(q, hot, "left", passes, at).drop("parts"), mine, ["key"], least))
+        release(pairs.sparkSession)
+        found = pairs if found is None else found.unionAll(pairs)
+    return found.distinct() if passes > 1 else found
+
+
 def _further(q: DataFrame, b: DataFrame, hot: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs with the parts of hot lists after the first."""
-    counts = q.join(hot, "key").groupBy("key").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
-    looking = lookup_join(q, cut(counts), "key", "n", "parts").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
-    return _pairs(looking, b.where("part > 0"), ["key", "part"], least)
+    looking = _entries(q, hot, "inner").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
+    return _pairs(looking, _entries(b, hot, "inner").withColumn("part", _part()).where("part > 0").drop("parts"), ["key", "part"], least)
 
 
 def _tested(pairs: DataFrame, queries: DataFrame, base: DataFrame, frequencies: object, least: tuple[int, int]) -> DataFrame:
@@ -232,7 +280,7 @@ def near(queries: DataFrame, base: DataFrame, least: tuple[int, int] = LEAST) ->
     distinct, id a 64-bit hash) of whose trigrams at least `least` are in common."""
     frequencies = _frequencies(queries, base)
     q, b, hot = _lists(queries, base, frequencies, _checked(least))
-    pairs = _pairs(q, b.where("part = 0"), ["key"], least)
+    pairs = _first(q, b, hot, least)
     if not hot.isEmpty():
         pairs = pairs.unionAll(_further(q, b, hot, least)).distinct()
     return _tested(pairs, queries, base, frequencies, least)
@@ -243,17 +291,21 @@ def nearest(queries: DataFrame, base: DataFrame, least: tuple[int, int] = LEAST)
     frequencies = _frequencies(queries, base)
     q, b, hot = _lists(queries, base, frequencies, _checked(least))
     best = F.max(F.struct("similarity", "cosine")).alias("s")
-    one = lambda rows: cut(rows.groupBy("id").agg(best).select("id", "s.*"))
 
-    pairs = cut(_pairs(q, b.where("part = 0"), ["key"], least))
+    def one(pairs: DataFrame) -> DataFrame:
+        rows = cut(_tested(pairs, queries, base, frequencies, least).groupBy("id").agg(best).select("id", "s.*"))
+        release(rows.sparkSession)
+        return rows
+
+    pairs = _first(q, b, hot, least)
     firsts = pairs.groupBy("id").agg(F.min(F.struct("apart", "base_id")).alias("f")).select("id", F.col("f.base_id").alias("base_id"))
-    found = one(_tested(firsts, queries, base, frequencies, least))
+    found = one(firsts)
     others = pairs.join(found.select("id"), "id", "left_anti").join(firsts, ["id", "base_id"], "left_anti")
-    found = found.unionAll(one(_tested(others, queries, base, frequencies, least)))
+    found = found.unionAll(one(others))
     if hot.isEmpty():
         return found
     more = _further(q.join(found.select("id"), "id", "left_anti"), b, hot, least)
-    return found.unionAll(one(_tested(more, queries, base, frequencies, least)))
+    return found.unionAll(one(more))
 
 
 def overlaps(members: DataFrame, train: str = "train") -> DataFrame:

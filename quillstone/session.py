@@ -51,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give up shuffle and checkpoint files that no table needs any more: Spark drops them when the driver collects its garbage,
+    which it does by itself only if its memory runs short, not the disk."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions in force."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -69,6 +69,38 @@ def test_hot_lists_in_parts_lose_nothing(spark, monkeypatch):
     assert {r.id for r in cosine.nearest(q, b).collect()} == {i for i, _ in want}
 
 
+def test_passes_lose_nothing_and_checkpoints_hold_a_row_a_text(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "ENTRIES", 700)
+    rows, cut = [], cosine.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(cosine, "cut", counted)
+    rng = random.Random(7)
+    texts = sorted({"fullmakt " + "".join(rng.choice("abcdefghij ") for _ in range(60)).strip() for _ in range(60)})
+    texts = sorted({*texts, *(t + " x" for t in texts[::2])})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    q, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    g = [grams(t) for t in texts]
+    want = {i for i in range(0, len(g), 2) if any(5 * len(g[i] & g[j]) >= 4 * len(g[i] | g[j]) for j in range(1, len(g), 2))}
+    assert {r.id for r in cosine.nearest(q, b).collect()} == want and want
+    assert len(rows) > 5 and max(rows) <= len(texts)
+
+
+def test_frequencies_come_to_the_driver_packed(spark, monkeypatch):
+    def rows(df):
+        raise AssertionError("one row a trigram on the driver")
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", rows)
+    terms, n = cosine.document_frequencies(spark.createDataFrame([("abab",), ("abc",)], "text string"))
+    got = {int(t): int(k) for t, k in zip(terms, n)}
+    want = [x for t in ("abab", "abc") for x in cosine.trigrams(t).tolist()]
+    assert got == {t: want.count(t) for t in want} and list(n) == sorted(n, reverse=True)
+
+
 def test_report(spark):
     df = members(spark, [(1, "train", "NO", "1", True, "abc def", None), (2, "val", "NO", "1", True, "ABC def", None), (3, "val", "NO", "2", True, "zzz", None)])
     r = cosine.report(df, cosine.overlaps(df)).collect()

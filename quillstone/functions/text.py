@@ -64,15 +64,24 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
+def spaced(c: Column) -> Column:
+    """Every run of white space one space, trimmed; null stays null."""
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
+
+
 def normalize_text(c: Column) -> Column:
     """Composed, every run of white space one space, trimmed; null stays null."""
-    return F.trim(F.regexp_replace(nfc(c), BLANKS, " "))
+    return spaced(nfc(c))
+
+
+def folded_key(c: Column) -> Column:
+    """Comparison key of a text that is folded: blanks and dashes unified, closing stops dropped."""
+    return F.regexp_replace(F.translate(spaced(c), DASHES, "-" * len(DASHES)), r"[\s.]+$", "")
 
 
 def text_key(c: Column) -> Column:
     """Comparison key: folded, blanks and dashes unified, closing stops dropped; null is ''."""
-    plain = F.trim(F.regexp_replace(folded(c), BLANKS, " "))
-    return F.regexp_replace(F.translate(plain, DASHES, "-" * len(DASHES)), r"[\s.]+$", "")
+    return folded_key(folded(c))
 
 
 def register_number(jurisdiction: Column, entity_id: Column) -> Column:

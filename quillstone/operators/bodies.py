@@ -1,7 +1,8 @@
 """What lookup bodies say: the signing rule, the procuration, and codes that no table knows.
 
-A body is read once by the automaton of `structure`, into one narrow row; everything after that is column
-expressions over its array of codes, without a shuffle. Codes are looked up in literal maps of fixed size.
+A body is read once by the automaton of `structure`, into one narrow row, its text also composed and folded; everything after
+that is built-in column expressions over its array of codes, without a shuffle and without Python, before which Spark would
+queue whole rows with their groups on disk. Codes are looked up in literal maps of fixed size.
 
 Defined cases: a body that can't be read gives no row; a missing routine, status, text or list is null or empty; a lone
 object in the place of a list is a list of one; a lookup delivered twice with one content counts once.
@@ -9,13 +10,14 @@ object in the place of a list is a list of one; a lookup delivered twice with on
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, text_key
+from ..functions.text import fold, folded_key, spaced
 from . import ontology
 from . import structure as S
 
@@ -40,7 +42,8 @@ RULE_SHAPES = {
 }
 _CODES = "array<struct<code:string,n:int>>"
 _ROW = pa.schema(
-    [("lookup_id", pa.int64()), ("orgnr", pa.string()), ("kind", pa.string()), ("routine", pa.string()), ("rule", pa.string()), ("ident", pa.string()), ("text", pa.string())]
+    [("lookup_id", pa.int64()), ("orgnr", pa.string()), ("kind", pa.string()), ("routine", pa.string()), ("rule", pa.string()), ("ident", pa.string())]
+    + [("text", pa.string()), ("composed", pa.string()), ("folded", pa.string())]
     + [("codes", pa.list_(pa.struct([("code", pa.string()), ("n", pa.int32())])))]
 )
 
@@ -52,8 +55,13 @@ def _read(node: dict, path: tuple[str, ...]) -> tuple[str | None, str | None, in
     return S._scalar(node.get(path[-1])), S._scalar(node.get("regelIdent")), n
 
 
+def _written(text: str | None) -> tuple[str | None, str | None, str | None]:
+    """A text as it is, composed, and folded."""
+    return (None, None, None) if text is None else (text, unicodedata.normalize("NFC", text), fold(text))
+
+
 def lookup_codes(lookups: DataFrame) -> DataFrame:
-    """(lookup_id, orgnr, kind, routine, rule, ident, text, codes) of each readable body; codes are (code, n persons) in order."""
+    """(lookup_id, orgnr, kind, routine, rule, ident, text, composed, folded, codes) of each readable body; codes are (code, n persons) in order."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +80,12 @@ def lookup_codes(lookups: DataFrame) -> DataFrame:
                         if child == "rule":
                             one["ident"] = ident
                 codes = [{"code": c, "n": n} for _, c, n in sorted(codes, key=lambda x: x[0]) if c]
-                rows.append((lookup, orgnr, kind, one.get("routine"), one.get("rule"), one.get("ident"), one.get("text"), codes))
+                rows.append((lookup, orgnr, kind, one.get("routine"), one.get("rule"), one.get("ident"), *_written(one.get("text")), codes))
             cols = list(zip(*rows)) if rows else [()] * len(_ROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
 
     slim = lookups.select(F.col("lookup_id").cast("bigint").alias("lookup_id"), "orgnr", "kind", "body").where("lookup_id is not null and body is not null")
-    return slim.mapInArrow(scan, f"lookup_id bigint, orgnr string, kind string, routine string, rule string, ident string, text string, codes {_CODES}").distinct()
+    return slim.mapInArrow(scan, f"lookup_id bigint, orgnr string, kind string, routine string, rule string, ident string, text string, composed string, folded string, codes {_CODES}").distinct()
 
 
 def _group(text: str) -> Column:
@@ -94,8 +102,8 @@ def _modes_of(codes: dict[str, str]) -> Column:
     return F.create_map(*[x for c, m in codes.items() for x in (F.lit(c), F.lit(m))])
 
 
-def _plain(text: Column) -> Column:
-    return F.nullif(normalize_text(text), F.lit(""))
+def _plain(composed: Column) -> Column:
+    return F.nullif(spaced(composed), F.lit(""))
 
 
 def _with_ident(codes: Column, ident: Column, counts: Column) -> Column:
@@ -109,10 +117,10 @@ def _known(code: Column) -> Column:
 
 
 def signing(codes: DataFrame) -> DataFrame:
-    """(lookup_id, orgnr, status, text, rule_codes, alternatives, statutory, person_specific, unmapped) of the bodies on
+    """(lookup_id, orgnr, status, text, folded, rule_codes, alternatives, statutory, person_specific, unmapped) of the bodies on
     signing whose routine ran: groups of all rules under a rule status, a SIGNATORY group for named persons."""
     rules, statutory, persons = _groups_of({c: gs for c, (_, gs) in ontology.RULES.items()}), _groups_of(STATUTORY), _modes_of(PERSONS)
-    text = _plain(F.col("text"))
+    text = _plain(F.col("composed"))
     said = F.coalesce(*[F.when(F.col("rule") == k, v) for k, v in STATUS.items()], F.lit("none"))
     rows = codes.where("kind = 'signatur' and routine = 'OK'").withColumn("status", F.when((said == "none") & text.isNotNull(), "uninterpretable").otherwise(said))
     rows = rows.withColumn("all", _with_ident(F.col("codes"), F.col("ident"), F.col("status") == "rule"))
@@ -126,9 +134,9 @@ def signing(codes: DataFrame) -> DataFrame:
         return F.struct(F.array(role).alias("roles"), F.lit(None).cast("string").alias("collective"))
 
     groups = F.concat(F.flatten(F.transform("rule_codes", lambda c: F.try_element_at(rules, c))), F.transform(named, signatory))
-    rows = rows.select("lookup_id", "orgnr", "status", text.alias("text"), of_rules.alias("rule_codes"), "all", code.alias("code"))
+    rows = rows.select("lookup_id", "orgnr", "status", text.alias("text"), "folded", of_rules.alias("rule_codes"), "all", code.alias("code"))
     return rows.select(
-        "lookup_id", "orgnr", "status", "text", "rule_codes", F.array_distinct(groups.cast(f"array<{ontology.GROUP}>")).alias("alternatives"),
+        "lookup_id", "orgnr", "status", "text", "folded", "rule_codes", F.array_distinct(groups.cast(f"array<{ontology.GROUP}>")).alias("alternatives"),
         F.get(F.try_element_at(statutory, F.get(F.filter("code", lambda c: c.isin(*STATUTORY)), F.lit(0))), F.lit(0)).cast(ontology.GROUP).alias("statutory"),
         (F.size(named) > 0).alias("person_specific"), F.filter("code", lambda c: ~_known(c)).alias("unmapped"),
     )
@@ -136,8 +144,8 @@ def signing(codes: DataFrame) -> DataFrame:
 
 def ambiguity(rows: DataFrame) -> Column:
     """0 where the text is the description of the single rule, 1 where an interpreted rule has other wording; null without rule or text."""
-    described = F.create_map(*[x for c, (d, _) in ontology.RULES.items() for x in (F.lit(c), F.lit(d))])
-    same = (F.size("rule_codes") == 1) & (text_key(F.col("text")) == text_key(F.try_element_at(described, F.get("rule_codes", F.lit(0)))))
+    described = F.create_map(*[x for c, (d, _) in ontology.RULES.items() for x in (F.lit(c), F.lit(fold(d)))])
+    same = (F.size("rule_codes") == 1) & (folded_key(F.col("folded")) == folded_key(F.try_element_at(described, F.get("rule_codes", F.lit(0)))))
     return F.when((F.col("status") == "rule") & F.col("text").isNotNull() & (F.size("rule_codes") > 0), F.when(same, 0).otherwise(1))
 
 
@@ -149,7 +157,7 @@ def procuration(codes: DataFrame) -> DataFrame:
     under = F.when(F.col("rule") == "RF", F.filter("code", lambda c: c.isin(*ontology.RULES))).otherwise(F.array().cast("array<string>"))
     by_rule = F.when(F.size(under) > 0, F.when(F.exists(under, lambda c: F.try_element_at(rules, c)), "sole").otherwise("joint"))
     all_ = F.array_distinct(F.filter(F.concat(F.transform("code", lambda c: F.try_element_at(modes, c)), F.array(by_rule)), lambda m: m.isNotNull()))
-    present = F.coalesce(F.col("rule").isin("RF", "RT"), F.lit(False)) | (F.size("modes") > 0) | _plain(F.col("text")).isNotNull()
+    present = F.coalesce(F.col("rule").isin("RF", "RT"), F.lit(False)) | (F.size("modes") > 0) | _plain(F.col("composed")).isNotNull()
     mode = F.when(F.size("modes") > 1, "mixed").when(F.size("modes") == 1, F.get("modes", F.lit(0)))
     return rows.withColumn("modes", all_).select(
         "lookup_id", "orgnr", F.when(F.col("ran"), present).alias("present"), F.when(F.col("ran") & present, mode).alias("mode"),

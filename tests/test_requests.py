@@ -179,3 +179,20 @@ def test_lines_without_text_count_by_their_code(spark):
     rows = [("a", "CEO", None, "E"), ("b", "CEO", "", "G"), ("c", "CEO", None, "E"), ("c", "BOARD_MEMBER", None, "X"), ("d", "CEO", "vertritt gemeinsam mit einem Prokuristen", "G"), ("d", "CEO", None, "E"), ("e", "CEO", "vertritt gemeinsam mit einem Geschäftsführer", "G")]
     got = {r.company: (r.alternatives, r.person_specific) for r in phrases.company_rules(spark.createDataFrame(rows, "company string, office string, text string, code string")).collect()}
     assert got == {"a": (["CEO:1"], False), "c": (["CEO:1"], False), "d": (["CEO:1;PROKURIST:1"], True), "e": (["CEO:2"], False)}
+
+
+def test_lookup_answers_queue_no_rows_for_python(spark, tmp_path):
+    import unicodedata
+
+    from quillstone.operators import ontology
+    from quillstone.plans import bodies as plans
+
+    body = lambda text: json.dumps({"status": {"rutineStatus": {"kode": "OK"}, "regelStatus": {"kode": "RF"}}, "signeringsGrunnlag": {"signaturProkuraRoller": {"signaturProkuraFritekst": text}}, "signeringsKombinasjon": {"kombinasjon": [{"kode": code}]}})
+    code, (said, _) = next(iter(ontology.RULES.items()))
+    texts = [f"\u3000{said.upper()} .", unicodedata.normalize("NFD", said), "andre ord", " \u00a0", None]
+    rows = [(i, "1", "signatur", body(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "lookup_id bigint, orgnr string, kind string, body string").write.parquet(str(tmp_path / "fullmakt_signatur_rf.parquet"))
+    found = plans.lookup_answers(spark, str(tmp_path))
+    assert {r.lookup_id: r.ambiguity for r in found.collect()} == {0: 0, 1: 0, 2: 1, 3: None, 4: None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
